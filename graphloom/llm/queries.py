@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, shards
+from graphloom.llm import audio, bitpack, chat, curve, katz, rlz, shards, tokens
 from graphloom.llm.store import table
 
 N_SHARDS = 40
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of all documents, trained on those outside fold 2 of 7."""
+    return katz.score(table(spark, sf_dir, "documents"), 7, 2)
+
+
+def op2_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in 13-word windows of earlier documents, removed."""
+    return rlz.digest(table(spark, sf_dir, "documents"), 13)
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix-target expansion of all conversations, and one that speaks control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -25,9 +35,30 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), N_SHARDS)[0]
 
 
+def op6_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as bit-packed token files, read back."""
+    return bitpack.read(bitpack.write(table(spark, sf_dir, "documents"), tokens.vocabulary_path()))
+
+
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' bytes as stored telephony audio, read back and decoded."""
+    return audio.digest(audio.store(table(spark, sf_dir, "documents")))
+
+
+def op10_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed along a Hilbert curve into sequences of 2,048 ids."""
+    path = tokens.vocabulary_path()
+    return curve.with_crc(curve.pack(table(spark, sf_dir, "documents"), path, 2048), path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz": op1_katz,
+    "op2_rlz": op2_rlz,
     "op3_chat": op3_chat,
+    "op6_bitpack": op6_bitpack,
     "op7_shards": op7_shards,
+    "op8_audio": op8_audio,
+    "op10_curve": op10_curve,
 }
 
 SQL: dict[str, str] = {
