@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import audio, bitpack, chat, curve, katz, rlz, shards, tokens
+from graphloom.llm import audio, bitpack, chat, curve, decon, katz, knn, rlz, shards, superminhash, tokens
 from graphloom.llm.store import table
 
 N_SHARDS = 40
@@ -35,6 +35,16 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), N_SHARDS)[0]
 
 
+def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: three-word shingles, similarity 0.85."""
+    return superminhash.digest(table(spark, sf_dir, "documents"), 3, 85)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled rows outside fold 0 of 5."""
+    return knn.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 5, 0)
+
+
 def op6_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as bit-packed token files, read back."""
     return bitpack.read(bitpack.write(table(spark, sf_dir, "documents"), tokens.vocabulary_path()))
@@ -45,6 +55,11 @@ def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.store(table(spark, sf_dir, "documents")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a copy of a benchmark item, with the item and the alignment score."""
+    return decon.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed along a Hilbert curve into sequences of 2,048 ids."""
     path = tokens.vocabulary_path()
@@ -55,9 +70,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": op1_katz,
     "op2_rlz": op2_rlz,
     "op3_chat": op3_chat,
+    "op4_superminhash": op4_superminhash,
+    "op5_toxicity": op5_toxicity,
     "op6_bitpack": op6_bitpack,
     "op7_shards": op7_shards,
     "op8_audio": op8_audio,
+    "op9_decontamination": op9_decontamination,
     "op10_curve": op10_curve,
 }
 

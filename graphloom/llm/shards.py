@@ -74,10 +74,10 @@ def plan(slot_bytes: list[int], n_shards: int, version: int = 1) -> SlotMap:
     return SlotMap(version, tuple(shards), tuple(slot_bytes), n_shards)
 
 
-def rebalance(old: SlotMap, slot_bytes: list[int], n_shards: int | None = None) -> SlotMap:
-    """The next version of a map: shards over the mean give slots to the lightest one.
+def rebalance(old: SlotMap, slot_bytes: list[int], n_shards: int | None = None, slack: float = 0.015) -> SlotMap:
+    """The next version of a map: shards over the mean by ``slack`` give slots to the lightest one.
 
-    A slot moves only where that lowers the larger of the two loads, so a grown cluster
+    A slot moves only where that lowers the larger of the two loads, so a new shard
     receives slots and the others keep the rest; slots of removed shards move first.
     """
     n = n_shards or old.n_shards
@@ -95,6 +95,8 @@ def rebalance(old: SlotMap, slot_bytes: list[int], n_shards: int | None = None)
         held[to].append(i)
     for _ in range(len(shards)):
         top, low = max(range(n), key=lambda s: (loads[s], -s)), min(range(n), key=lambda s: (loads[s], s))
+        if loads[top] <= (1 + slack) * sum(slot_bytes) / n:
+            break
         gap = loads[top] - loads[low]
         fits = [i for i in held[top] if 0 < slot_bytes[i] < gap]
         if not fits:
