@@ -95,13 +95,16 @@ def rebalance(old: SlotMap, slot_bytes: list[int], n_shards: int | None = None,
         held[to].append(i)
     for _ in range(len(shards)):
         top, low = max(range(n), key=lambda s: (loads[s], -s)), min(range(n), key=lambda s: (loads[s], s))
-        if loads[top] <= (1 + slack) * sum(slot_bytes) / n:
+        mean = sum(slot_bytes) / n
+        if loads[top] <= (1 + slack) * mean:
             break
         gap = loads[top] - loads[low]
         fits = [i for i in held[top] if 0 < slot_bytes[i] < gap]
         if not fits:
             break
-        best = min(fits, key=lambda i: (abs(gap - 2 * slot_bytes[i]), i))
+        room = min(loads[top] - mean, mean - loads[low])
+        even = [i for i in fits if slot_bytes[i] <= room]  # neither shard crosses the mean
+        best = max(even, key=lambda i: (slot_bytes[i], -i)) if even else min(fits, key=lambda i: (abs(gap - 2 * slot_bytes[i]), i))
         shards[best] = low
         held[top].remove(best)
         held[low].append(best)
