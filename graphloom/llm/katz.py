@@ -39,6 +39,7 @@ from graphloom.llm import words as W
 from graphloom.llm.store import chunk_count, materialize, text_bytes
 
 GOOD_TURING_UP_TO = 5
+CHUNK_BYTES = 9 << 20
 TAIL = 0.1
 _FIXED = float(1 << 40)
 _BITS = np.uint64(8)  # hashes keep the upper 56 bits
@@ -108,16 +109,19 @@ class _Chunk:
         n = words.lengths
         self.offsets = np.concatenate([[0], np.cumsum(n + 1)])
         self.tokens = np.full(self.offsets[-1], _END)
-        self.doc = np.repeat(np.arange(len(n)), n + 1)
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
         inner = np.ones(len(self.tokens), bool)
         inner[self.offsets[1:] - 1] = False
         self.tokens[inner] = words.token_hashes()
+        del words, inner
         context = np.empty_like(self.tokens)
         context[1:] = self.tokens[:-1]
         context[self.offsets[:-1]] = _START
         train = ~self.held_out[self.doc]
         # unigrams, and the start as a context only
-        self.unigrams, self.word_at = np.unique(np.concatenate([self.tokens, [_START]]) >> _BITS, return_inverse=True)
+        self.unigrams, at = np.unique(np.concatenate([self.tokens, [_START]]) >> _BITS, return_inverse=True)
+        self.word_at = at.astype(np.int32)
+        del at
         self.unigram_counts = np.bincount(self.word_at[:-1], train, len(self.unigrams)).astype(np.int64)
         self.start_at = int(self.word_at[-1])
         self.word_at = self.word_at[:-1]
@@ -126,7 +130,10 @@ class _Chunk:
         self.context_at[1:] = self.word_at[:-1]
         self.context_at[self.offsets[:-1]] = self.start_at
         pair = W.mix(context * np.uint64(0x9E3779B97F4A7C15) + self.tokens) >> _BITS
-        self.bigrams, first, self.pair_at = np.unique(pair, return_index=True, return_inverse=True)
+        del context, self.tokens
+        self.bigrams, first, at = np.unique(pair, return_index=True, return_inverse=True)
+        self.pair_at = at.astype(np.int32)
+        del pair, at
         self.bigram_counts = np.bincount(self.pair_at, train, len(self.bigrams)).astype(np.int64)
         self.pair_context, self.pair_word = self.context_at[first], self.word_at[first]
 
@@ -228,7 +235,7 @@ def _score(chunked: DataFrame, counted: DataFrame, n: int, parts: int, part: int
         found = answers.drop_columns(["totals"]).to_pylist()
         unigram, _ = _answered(c, found, 1, n)
         bigram, owned = _answered(c, found, 2, n)
-        del found
+        del found, answers
         lower = t.unigram(unigram)
         context = np.maximum(unigram[c.pair_context], 1)
         higher = t.discounted(bigram, 2) / context
@@ -305,7 +312,7 @@ def _finish(scored: DataFrame, weights: DataFrame) -> DataFrame:
 def score(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
     """Train on rows whose crc32(doc_id as text) mod ``parts`` is not ``part``; score all rows."""
     rows = docs.select("doc_id", "text")
-    n = chunk_count(text_bytes(rows), 12)
+    n = chunk_count(text_bytes(rows), 12, CHUNK_BYTES)
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "chunk")
     counted = _count(_requests(chunked, n, parts, part), n)
     scored = materialize(_score(chunked, counted, n, parts, part), "katz")
