@@ -41,6 +41,7 @@ def split(texts, lower: bool = False) -> Words:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = texts.take(pa.array(np.arange(len(texts))))  # ascii_lower reads offsets that don't start at 0 wrongly
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()

@@ -207,3 +207,19 @@ def test_hilbert_curve_is_continuous():
     assert sorted(key) == list(range(side**3))
     walk = grid[np.argsort(key)]
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_words_of_sliced_arrays(lower):
+    import pyarrow as pa
+
+    from graphloom.llm import words as W
+
+    texts = ["a B", "c", "d e F", "Gé  h", "x\ty", "Z é"] * 5
+    for whole in (pa.array(texts), pa.array([*texts, None])):
+        for start, n in ((0, 30), (2, 3), (7, 20), (29, 1)):
+            found = W.split(whole.slice(start, n), lower)
+            words = [found.vocabulary[i].decode() for i in found.ids.tolist()]
+            fold = lambda w: "".join(c.lower() if c.isascii() else c for c in w) if lower else w
+            assert words == [fold(w) for t in texts[start : start + n] for w in WORD.findall(t)]
+            assert found.lengths.tolist() == [len(WORD.findall(t)) for t in texts[start : start + n]]
