@@ -7,8 +7,12 @@
    can improve, which for long documents is after the first one or two.
 2. Texts with equal sets are one node from here on. Bands of a signature are hashed to
    keys; nodes that share a key are candidates.
+   Shingles that no other candidate has bound what a node can share; nodes whose bound
+   stays under the threshold leave the buckets, so loose copies of one text, which share
+   buckets with all others but are linked with none, cost nothing further.
 3. Candidates are verified on whole sets in rounds, so that no bucket's pairs are all
-   written down: first every node against the hub it shares most keys with, then every
+   written down: first every node against the hub it shares most keys with (a bucket's
+   hub is the node with the smallest share of shingles of its own), then every
    node against the label (the component's smallest node) of its own component and of
    the components that it meets in a bucket, until no round links anything.
 4. What remains are pairs in one bucket with different labels. Jaccard distance obeys
@@ -28,6 +32,7 @@ table gives an empty result; extra columns are ignored, or carried by :func:`fir
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,6 +201,37 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _profiles(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (node, size, own): how many shingles a node has, and how many of them no other candidate has.
+
+    A link needs ``percent`` of the shingles shared, so nodes with fewer that others have are left out.
+    """
+    named = sets.select("node", F.xxhash64("node").alias("nid"), F.size("set").cast("long").alias("size"), "set")
+    alone = named.select("nid", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("nid").alias("nid"))
+    own = alone.filter("n = 1").groupBy("nid").agg(F.count("*").alias("own"))
+    found = named.select("node", "nid", "size").join(own, "nid", "left").select("node", "size", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
+    return found.filter(f"100 * (size - own) >= {percent} * size")
+
+
+def _possible(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Rows (node, key, alone) of the members that may have a link in their bucket.
+
+    A node of ``size`` shingles, ``own`` of them its own, shares size - own with a node of
+    m shingles at most, of own + m that they have together at least. m is no less than the
+    smallest size in the bucket among those that ``percent`` allows; sizes are classed by
+    powers of 100 / percent, so allowed ones are at most a class away.
+    """
+    step = math.log(100 / percent)
+    placed = members.join(profiles, "node").withColumn("class", F.floor(F.log("size") / step).cast("int"))
+    least = placed.groupBy("key", "class").agg(F.min("size").alias("least"))
+    of_key = least.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("class", "least"))).alias("least"))
+    near = F.least(*(F.try_element_at("least", F.col("class") + i) for i in (-1, 0, 1)))
+    shared = F.col("size") - F.col("own")
+    other = F.greatest(near, F.ceil(F.col("size") * percent / 100), shared)
+    kept = placed.join(of_key, "key").filter(100 * shared >= percent * (other + F.col("own")))
+    return materialize(kept.select("node", "key", (F.col("own") / F.col("size")).alias("alone")), "members")
+
+
 def node_labels(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows (node, label) of the nodes that share a band key with another one."""
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(_id("doc_id").alias("id"), "text_key")).alias("at"), F.any_value("keys").alias("keys"))
@@ -206,8 +242,9 @@ def node_labels(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
     sets = materialize(_sets(docs, wanted, size), "sets")
 
     linked = f"100 * common >= {percent} * united"
-    # Round 1: the hub of a bucket is its smallest node; each node tries the hub that it meets most often.
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
+    members = _possible(members, _profiles(sets, percent), percent)
+    # Round 1: the hub of a bucket is the node with the smallest share of shingles of its own; each node tries the hub that it meets most often.
+    hubs = members.groupBy("key").agg(F.min(F.struct("alone", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
     met = members.join(hubs, "key").filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     best = met.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("m")).select(*_pair("node", "m.hub")).distinct()
     tested = [materialize(_verified(best, sets), "pairs")]
@@ -215,7 +252,7 @@ def node_labels(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
 
     # Rounds: each node against its own label and the labels it meets in buckets.
     while True:
-        named = members.join(labels, "node")
+        named = members.drop("alone").join(labels, "node")
         several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
         open_ = materialize(named.join(several, "key", "left_semi"), "open")
         meets = open_.select("key", F.col("label").alias("other")).distinct()
@@ -228,8 +265,9 @@ def node_labels(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
         merging = found.filter(linked).join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").filter("la <> lb")
         if not merging.limit(1).count():
             break
-        labels = _relabel(labels, found.filter(linked))
+        older, labels = labels, _relabel(labels, found.filter(linked))
         discard(open_)
+        discard(older)
 
     # What is left: different labels in one bucket, not excluded by the triangle inequality.
     known = found.union(done).select("a", "b", (1 - F.col("common") / F.col("united")).alias("d"))
@@ -246,8 +284,10 @@ def node_labels(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
     left = x.join(y, (x["key"] == y["key"]) & (x["lx"] == y["lx"]) & (x["ly"] == y["ly"]) & (x["lx"] < x["ly"]) & (F.abs(x["fx"] - y["oy"]) <= near) & (F.abs(y["fy"] - x["ox"]) <= near))
     left = left.select(*_pair("x", "y")).distinct().join(done.union(found), ["a", "b"], "left_anti")
     rest = materialize(_verified(left, sets).filter(linked), "pairs")
-    discard(sets)
-    return _relabel(labels, rest)
+    out = _relabel(labels, rest)
+    for used in (sets, members, open_, known, rest, labels, *tested):
+        discard(used)
+    return out
 
 
 def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
