@@ -16,7 +16,7 @@ from graphloom.session import cut
 def bfs(edges: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows (id, depth): what is reachable from ``seeds`` (id) along src to dst; seeds have depth 0."""
     seen = [cut(seeds.select("id").distinct().withColumn("depth", F.lit(0).cast("long")))]
-    step = edges.select("src", "dst").distinct()
+    step = cut(edges.select("src", "dst").distinct())
     depth = 0
     while limit is None or depth < limit:
         depth += 1
@@ -32,7 +32,7 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: int | None = None) ->
     """Rows (s, v, d, sigma): distance and number of shortest paths (parallel edges count) from each source."""
     first = sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).cast("long").alias("d"), F.lit(1.0).alias("sigma"))
     seen, d = [cut(first)], 0
-    step = edges.select("src", "dst")
+    step = cut(edges.select("src", "dst"))
     while limit is None or d < limit:
         d += 1
         reached = step.join(seen[-1].withColumnRenamed("v", "src"), "src").groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
