@@ -132,7 +132,11 @@ JS_CALLS = [
 
 def js_api_extract(files: DataFrame) -> DataFrame:
     """(path, via, url) of calls in scripts."""
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), lambda u, n=n: F.struct(F.lit(n).alias("via"), u.alias("url"))) for n, p in JS_CALLS)))
+
+    def calls(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda u: F.struct(F.lit(name).alias("via"), u.alias("url")))
+
+    found = F.flatten(F.array(*(calls(n, p) for n, p in JS_CALLS)))
     return files.select("path", F.inline(found)).distinct()
 
 
