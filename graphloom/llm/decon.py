@@ -1,16 +1,19 @@
-"""Benchmark decontamination by rare n-gram seeds and local alignment.
+"""Benchmark decontamination by n-gram seeds and local alignment.
 
-Words are lower-cased and lose everything but letters and digits. The word trigrams of
-every test item are looked up in all training texts and their document frequencies
-counted; the rarer half of each item's trigrams (by that count, ties by position) are
-its seeds. Every occurrence of a seed in a training text proposes a place for the item,
-and Smith-Waterman alignment of the item with that stretch of text (match 2, mismatch and
-gap -1) gives a score, divided by the score of a full match. Text and item belong
-together from ``least`` on, so edited, cut and paraphrased copies count.
+Words are lower-cased and lose everything but letters and digits. Every word trigram of
+every test item is a seed, however frequent: each occurrence in a training text proposes
+a place for the item, and Smith-Waterman alignment of the item with the text around it
+(match 2, mismatch and gap -1) gives a score, divided by the score of a full match. Text
+and item belong together from ``least`` on, so edited, cut and paraphrased copies count.
 
-The share is by rank within an item, not by an absolute frequency: an item that has
-leaked into a third of the corpus keeps its seeds. Test items are sent to every task, in
-blocks of at most ``BLOCK_BYTES`` of text, one pass over the corpus for each block.
+Places of one item whose stretches overlap are aligned at once. A stretch is passed over
+only if a bound on its score, from which item words occur in it at all, is under
+``least``. A copy is found if three words in a row of it are the item's. Substitutions
+leave such words in every copy of n words that scores over 0.5 + 1/n; a copy with a word
+put in after every second one of its words can score over 0.5 without, and is not found.
+
+Test items are sent to every task, in blocks of at most ``BLOCK_BYTES`` of text, one pass
+over the corpus for each block.
 
 Edge cases: null or empty texts and items match nothing; items under three words are
 matched whole; repeated items and repeated rows each give their rows; a null doc_id or
@@ -120,70 +123,54 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _best(item: np.ndarray, text: np.ndarray, starts: list[int]) -> tuple[float, int]:
-    """Best share of a full match over the proposed places, and where it ends."""
-    n, best, end, done = len(item), 0.0, 0, -1
-    for p in sorted(set(starts)):
+def _bound(item: np.ndarray, text: np.ndarray) -> int:
+    """No alignment scores more: item words in the text count 2, the others between them cost 1."""
+    there = set(text.tolist())
+    top = run = 0
+    for w in item.tolist():
+        run = run + 2 if w in there else max(0, run - 1)
+        top = max(top, run)
+    return top
+
+
+def _best(item: np.ndarray, text: np.ndarray, starts: list[int], least: float) -> tuple[float, int]:
+    """Best share of a full match over the proposed places, and where it ends; (0, 0) if under ``least``."""
+    n, best, end, starts = len(item), 0.0, 0, sorted(set(starts))
+    for p in starts:
         if 0 <= p and p + n <= len(text) and (text[p : p + n] == item).all():
             return 1.0, p + n
-    for p in sorted(set(starts)):
-        a, b = max(0, p - n // 2), min(len(text), p + n + n // 2)
-        if p + n // 4 < done:  # inside the stretch that was just aligned
+    room = max(0, int(2 * n * (1 - least)))  # so many words at most are put into a copy
+    spans: list[list[int]] = []
+    for p in starts:
+        a, b = max(0, p - room), min(len(text), p + n + room)
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = b
+        else:
+            spans.append([a, b])
+    for a, b in spans:
+        if _bound(item, text[a:b]) < least * 2 * n:
             continue
-        done = b - n
         score, at = align(item, text[a:b])
         if score / (2 * n) > best:
             best, end = score / (2 * n), a + at
-    return best, end
+    return (best, end) if best >= least else (0.0, 0)
 
 
-def _matches(texts: pa.Array, items: Items, table: np.ndarray, seeds: np.ndarray, least: float) -> Iterator[tuple[int, int, float, int]]:
+def _matches(texts: pa.Array, items: Items, table: np.ndarray, least: float) -> Iterator[tuple[int, int, float, int]]:
     """(text, item, score, raw word where the match ends)."""
     hashes, offsets, place = normalised(texts)
     at, key = _hits(hashes, offsets, items, table)
-    at, key = at[seeds[key]], key[seeds[key]]
     doc = np.searchsorted(offsets, at, "right") - 1
     proposed: dict[tuple[int, int], list[int]] = {}
     for d, p, k in zip(doc.tolist(), at.tolist(), key.tolist(), strict=True):
         for item, q in items.owners[k]:
             proposed.setdefault((d, item), []).append(p - q - int(offsets[d]))
     for (d, item), starts in proposed.items():
-        score, end = _best(items.words[item], hashes[offsets[d] : offsets[d + 1]], starts)
-        if score >= least:
+        score, end = _best(items.words[item], hashes[offsets[d] : offsets[d + 1]], starts, least)
+        if end:
             yield d, item, score, int(place[offsets[d] + end - 1])
 
 
-def _seeds(docs: DataFrame, items: Items) -> np.ndarray:
-    """Which keys are among the rarer half of an item's, by document frequency in the corpus."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
-        table, df = items.filter(), np.zeros(len(items.keys), np.int64)
-        for b in tokens.pieces(batches):
-            hashes, offsets, _ = normalised(b.column("text"))
-            at, key = _hits(hashes, offsets, items, table)
-            doc = np.searchsorted(offsets, at, "right") - 1
-            one = np.unique(doc * len(items.keys) + key)
-            df += np.bincount(one % max(1, len(items.keys)), minlength=len(items.keys))
-        seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], ["key", "n"])
-
-    found = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # a row a key of one block
-    df = np.zeros(len(items.keys), np.int64)
-    for r in found:
-        df[r["key"]] = r["n"]
-    of_item: dict[int, list[tuple[int, int, int]]] = {}
-    for k, owners in enumerate(items.owners):
-        for item, p in owners:
-            of_item.setdefault(item, []).append((int(df[k]), p, k))
-    chosen = np.zeros(len(items.keys), bool)
-    for keys in of_item.values():
-        for _, _, k in sorted(keys)[: -(-len(keys) // 2)]:
-            chosen[k] = True
-    return chosen
-
-
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
     """Test items in blocks of a bounded size, each gathered on the driver."""
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
@@ -198,14 +185,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
     spark, outs = docs.sparkSession, []
     for rows in _blocks(benchmark):
         items = index_items(rows)
-        sent = spark.sparkContext.broadcast((items, _seeds(docs, items)))
+        sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, seeds = sent.value
+            items = sent.value
             table = items.filter()
             for b in tokens.pieces(batches):
                 ids, out = b.column("doc_id").to_pylist(), []
-                for d, item, score, end in _matches(b.column("text"), items, table, seeds, least):
+                for d, item, score, end in _matches(b.column("text"), items, table, least):
                     out.append((ids[d], items.ids[item], score, end))
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "score", "end_word"])
@@ -219,15 +206,15 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
     at, out = docs.columns.index("text"), docs
     for rows in _blocks(benchmark):
         items = index_items(rows)
-        sent = docs.sparkSession.sparkContext.broadcast((items, _seeds(docs, items)))
+        sent = docs.sparkSession.sparkContext.broadcast(items)
         plain = out.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, seeds = sent.value
+            items = sent.value
             table = items.filter()
             for b in tokens.pieces(batches, f"c{at}"):
                 keep = np.ones(b.num_rows, bool)
-                for d, *_ in _matches(b.column(at), items, table, seeds, least):
+                for d, *_ in _matches(b.column(at), items, table, least):
                     keep[d] = False
                 yield b.filter(pa.array(keep))
 

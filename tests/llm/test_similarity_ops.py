@@ -241,3 +241,27 @@ def test_leaks_are_found_and_clean_rows_stay(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in leaked} - {None}
     assert decon.matches(frame(spark, []), bench).count() == 0
     assert decon.matches(df, bench.limit(0)).count() == 0 and decon.without_leaks(df, bench.limit(0)).count() == len(rows)
+
+
+def test_copies_with_an_edit_in_four_words_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    draw = lambda n: list(rng.choice(vocabulary, n))
+    items = [(i, draw(n)) for i, n in enumerate([16, 30, 55] * 4)]
+    rows = []
+    for i in range(240):
+        copy = [str(rng.choice(vocabulary)) if rng.random() < 0.25 else w for w in items[i % 12][1]]
+        if i % 5 == 0:  # words put in as well
+            copy = [x for k, w in enumerate(copy) for x in ([w, "put", "in"] if k % 6 == 5 else [w])]
+        rows.append((i, " ".join(draw(int(rng.integers(0, 60))) + copy + draw(int(rng.integers(0, 60))))))
+    number = {w: i for i, w in enumerate([*vocabulary, "put", "in"])}
+    code = lambda words: np.array([number[w] for w in words])
+    want = {}
+    for d, text in rows:
+        for i, item in items:
+            score = decon.align(code(item), code(text.split()))[0] / (2 * len(item))
+            if score >= 0.5:
+                want[d, i] = score
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decon.matches(frame(spark, rows), bench).collect()}
+    assert len(want) > 150 and got == pytest.approx(want)
