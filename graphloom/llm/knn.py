@@ -2,20 +2,23 @@
 
 Terms are lower-case words without outer punctuation, and their first 4 and 5 letters
 (so that inflected forms meet). A bounded sample of labelled rows (``sample`` rows, those
-with the smallest hash of doc_id) gives the examples and selects the terms whose presence
-depends on the label (G-test); the document frequency of each is then counted over all
-documents. Examples and documents are TF-IDF vectors of unit length over these terms. The
-``neighbours`` nearest examples by cosine vote with their similarity as weight, against a
-prior: the share of toxic examples among those without any selected term.
+with the smallest hash of doc_id) gives the examples. All their terms are indexed; the
+document frequency of each is counted over all documents. Examples and documents are
+vectors of unit length over these terms, weighted by TF-IDF and by the root of how much
+the label depends on the term's presence (G, per example), so that words of the subject
+weigh little beside words of the label. All examples vote: the ``neighbours`` nearest by
+cosine, with their similarity as weight, against a prior, the share of toxic examples.
 
 The search is exact. Postings are kept in blocks of 64 examples with the largest weight
-of each term in each block; blocks are visited by their upper bound and the search ends
-when no further block can reach the k-th best similarity.
+of each term in each block; the blocks with the largest upper bounds are searched, and
+then all others that can still reach the k-th best similarity. Terms of many examples
+are whole rows instead, multiplied for many documents at once.
 
-The index is bounded by ``sample`` and ``terms`` whatever the corpus holds, so it is sent
-to every task. Nothing else is gathered: document frequencies are one number a term.
+The index is bounded by ``sample`` and the terms of its texts whatever the corpus holds,
+so it is sent to every task. Nothing else is gathered: document frequencies are one
+number a term, summed in runs of ``RUN`` terms.
 
-Edge cases: null or empty texts and texts without a selected term get the prior; labels
+Edge cases: null or empty texts and texts without a term that depends on the label get the prior; labels
 that are null are not learned from; repeated labels count once (the largest); a labelled
 doc_id without text or with several rows is one example (its smallest text); without
 labelled rows every score is 0; ties between neighbours go to the smaller example number;
@@ -26,7 +29,7 @@ an empty table gives an empty result; extra columns are ignored, or carried by
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,12 +41,12 @@ from pyspark.sql import functions as F
 from graphloom.llm import tokens
 from graphloom.llm import words as W
 
-SAMPLE, TERMS, NEIGHBOURS = 6000, 1024, 15
-#: G of the label's dependence on a term; about one in a billion by chance.
-LEAST_G = 36.0
+SAMPLE, NEIGHBOURS = 6000, 15
 _PRIOR_WEIGHT = 0.5
 _OUTER = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‘’…¿¡–—"
-BLOCK = 64
+BLOCK, AHEAD, RUN = 64, 8, 1024
+#: Terms that more than this share of the examples have are kept as whole rows.
+COMMON = 0.1
 
 
 def terms_of(word: bytes) -> tuple[str, ...]:
@@ -53,74 +56,141 @@ def terms_of(word: bytes) -> tuple[str, ...]:
     return (w, *((w[:n] + "*") for n in (4, 5) if len(w) > n))
 
 
-def _documents(texts: pa.Array, index: dict[str, int] | None):
-    """Per text a Counter of its terms; with an index, of the numbers of those in it."""
+def _documents(texts: pa.Array) -> list[Counter]:
+    """Per text a Counter of its terms."""
     words = W.split(texts, lower=True)
     of_word = [terms_of(w) for w in words.vocabulary]
-    if index is not None:
-        of_word = [tuple(index[t] for t in ts if t in index) for ts in of_word]
-    hit = np.array([bool(t) for t in of_word], bool)
     out: list[Counter] = [Counter() for _ in range(len(words.offsets) - 1)]
-    if len(hit):
-        at = np.flatnonzero(hit[words.ids]) if len(words.ids) else np.zeros(0, np.int64)
-        for d, i in zip(words.owner()[at].tolist(), words.ids[at].tolist(), strict=True):
-            out[d].update(of_word[i])
+    for d, i in zip(words.owner().tolist(), words.ids.tolist(), strict=True):
+        out[d].update(of_word[i])
     return out
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _counted(texts: pa.Array, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number of a term, occurrences), ordered, of the terms that have a number."""
+    words = W.split(texts, lower=True)
+    of_word = [[number[t] for t in terms_of(w) if t in number] for w in words.vocabulary]
+    if not len(words.ids):
+        return (np.zeros(0, np.int64),) * 3
+    lengths = np.array([len(ts) for ts in of_word], np.int64)
+    flat = np.array([t for ts in of_word for t in ts], np.int64)
+    per = lengths[words.ids]
+    term = flat[_ranges((np.cumsum(lengths) - lengths)[words.ids], per)]
+    key, n = np.unique(np.repeat(words.owner(), per) * len(number) + term, return_counts=True)
+    return key // max(1, len(number)), key % max(1, len(number)), n
+
+
 @dataclass
 class Index:
     """Unit vectors of the examples as a block-max inverted index."""
 
     terms: list[str]
-    idf: np.ndarray
-    vectors: np.ndarray  # (examples, terms), examples without a term left out
+    idf: np.ndarray  # of each term, with the weight of the label's dependence on it
+    vectors: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray] | None  # (examples, terms), or example, term and weight of what is not 0
     toxic: np.ndarray
     ids: np.ndarray
     prior: float
 
     def __post_init__(self):
-        n = len(self.vectors)
-        self.n_blocks = -(-n // BLOCK)
-        padded = np.zeros((self.n_blocks * BLOCK, len(self.terms)))
-        padded[:n] = self.vectors
-        self.blocks = padded.reshape(self.n_blocks, BLOCK, len(self.terms))
-        self.block_max = self.blocks.max(axis=1).T.copy() if n else np.zeros((len(self.terms), 0))
-        self.number = {t: i for i, t in enumerate(self.terms)}
-        # postings: for each term and block, the examples that have it and their weights
-        self.postings = {}
-        for e, t in zip(*np.nonzero(self.vectors), strict=True):
-            self.postings.setdefault((int(t), int(e) // BLOCK), []).append((int(e) % BLOCK, float(self.vectors[e, t])))
-        self.postings = {k: (np.array([x for x, _ in v]), np.array([w for _, w in v])) for k, v in self.postings.items()}
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), np.int64)
-        weight = (1 + np.log([counts[i] for i in at.tolist()])) * self.idf[at]
-        return at, weight / np.sqrt((weight * weight).sum())
+        if isinstance(self.vectors, np.ndarray):
+            at = np.nonzero(self.vectors)
+            self.vectors = (*at, self.vectors[at])
+        example, term, weight = self.vectors
+        order = np.lexsort((example, term))
+        self.vectors = example[order].astype(np.int32), term[order].astype(np.int32), weight[order]
+        self.built = False
+
+    def __getstate__(self):
+        """Without what :meth:`build` makes, as each task is sent a copy."""
+        example, term, weight = self.vectors
+        lengths = np.bincount(term, minlength=len(self.terms)).astype(np.int32)
+        small = example.astype(np.int16) if len(self.ids) < 1 << 15 else example
+        return zlib.compress("\n".join(self.terms).encode()), self.idf, small, lengths, weight, self.toxic, self.ids, self.prior
+
+    def __setstate__(self, state):
+        terms, self.idf, example, lengths, weight, self.toxic, self.ids, self.prior = state
+        self.terms = zlib.decompress(terms).decode().split("\n") if len(lengths) else []
+        self.vectors = example.astype(np.int32), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), weight
+        self.build()
+        self.vectors = None
+
+    def build(self):
+        example, term, weight = self.vectors
+        self.number, self.built = {t: i for i, t in enumerate(self.terms)}, True
+        often = np.bincount(term, minlength=len(self.terms)) > COMMON * len(self.ids)
+        self.common = np.where(often, np.cumsum(often) - 1, -1)  # terms whose weights are kept as rows for all examples
+        self.rows = np.zeros((int(often.sum()), len(self.ids)))
+        self.rows[self.common[term[often[term]]], example[often[term]]] = weight[often[term]]
+        example, term, weight = (x[~often[term]] for x in (example, term, weight))
+        self.example, self.weight = example, weight
+        self.n_blocks = -(-len(self.ids) // BLOCK)
+        # runs of postings of one term in one block
+        run = term.astype(np.int64) * self.n_blocks + self.example // BLOCK
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        self.run_start, self.run_length = first, np.diff(first, append=len(run))
+        self.run_block = self.example[first] // BLOCK
+        self.run_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.runs_of = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
+
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of unit length; none if nothing has a weight."""
+        weight = (1 + np.log(n)) * self.idf[at]
+        at, weight = at[weight > 0], weight[weight > 0]
+        return at, weight / np.sqrt((weight * weight).sum()) if len(at) else weight
 
     def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k nearest with a similarity over 0, best first."""
-        at, weight = self.vector(counts)
-        bound = weight @ self.block_max[at]
+        if not self.built:
+            self.build()
+        at = np.array(sorted(counts), np.int64)
+        at, weight = self.vector(at, np.array([counts[i] for i in at.tolist()], np.int64))
+        return self.search(at, weight, self.by_common([(at, weight)])[0], k)
+
+    def by_common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common terms add to the similarity of each vector with each example."""
+        own = np.zeros((len(vectors), len(self.rows)))
+        for row, (at, weight) in zip(own, vectors, strict=True):
+            c = self.common[at]
+            row[c[c >= 0]] = weight[c >= 0]
+        return own @ self.rows
+
+    def search(self, at: np.ndarray, weight: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        per = self.runs_of[at + 1] - self.runs_of[at]
+        run, weight = _ranges(self.runs_of[at], per), np.repeat(weight, per)
+        block = self.run_block[run]
+        bound = np.bincount(block, weight * self.run_max[run], self.n_blocks)
+        if len(base):
+            bound = bound + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
         best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best_s) == k and bound[b] + 1e-12 < best_s[-1]):
+        order = np.argsort(-bound, kind="stable")
+        for part in (order[:AHEAD], order[AHEAD:]):
+            part = part[bound[part] > 0]
+            if len(best_s) == k:
+                part = part[bound[part] + 1e-12 >= best_s[-1]]
+            if not len(part):
                 break
-            s = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-                if (t, b) in self.postings:
-                    e, v = self.postings[t, b]
-                    s[e] += w * v
-            e = np.flatnonzero(s > 0)
-            best_e, best_s = np.concatenate([best_e, e + b * BLOCK]), np.concatenate([best_s, s[e]])
-            order = np.lexsort((best_e, -np.round(best_s, 12)))[:k]
-            best_e, best_s = best_e[order], best_s[order]
+            wanted = np.zeros(self.n_blocks, bool)
+            wanted[part] = True
+            here = wanted[block]
+            length = self.run_length[run[here]]
+            post = _ranges(self.run_start[run[here]], length)
+            s = np.bincount(self.example[post], np.repeat(weight[here], length) * self.weight[post], len(self.ids)) + base
+            e = np.flatnonzero((s > 0) & np.repeat(wanted, BLOCK)[: len(s)])
+            if len(e) > k:
+                e = e[s[e] >= np.partition(s[e], -k)[-k] - 1e-11]
+            best_e, best_s = np.concatenate([best_e, e]), np.concatenate([best_s, s[e]])
+            order_ = np.lexsort((best_e, -np.round(best_s, 12)))[:k]
+            best_e, best_s = best_e[order_], best_s[order_]
         return best_e, best_s
 
-    def score(self, counts: dict[int, int], k: int) -> tuple[float, list[int]]:
-        if not counts:
-            return self.prior, []
-        e, s = self.nearest(counts, k)
+    def score(self, at: np.ndarray, weight: np.ndarray, base: np.ndarray, k: int) -> tuple[float, list[int]]:
+        e, s = self.search(at, weight, base, k)
         p = (float(s @ self.toxic[e]) + _PRIOR_WEIGHT * self.prior) / (float(s.sum()) + _PRIOR_WEIGHT)
         return min(1.0, max(0.0, p)), [int(x) for x in self.ids[e[:3]]]
 
@@ -136,8 +206,8 @@ def _g(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return out
 
 
-def _sample(docs: DataFrame, labels: DataFrame, sample: int, parts: int, part: int) -> list[tuple[int, int, Counter]]:
-    """The examples: at most ``sample`` rows, and so fit for the driver."""
+def _sample(docs: DataFrame, labels: DataFrame, sample: int, parts: int, part: int) -> list[tuple[int, int, str]]:
+    """The examples with their terms, one a line: at most ``sample`` rows, and so fit for the driver."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
     learned = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold != part))
     learned = learned.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -146,72 +216,74 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int, parts: int, part: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tokens.pieces(batches):
-            found = _documents(b.column("text"), None)
+            found = _documents(b.column("text"))
             cols = [b.column("doc_id"), b.column("toxic"), pa.array(["\n".join(t for t in c for _ in range(c[t])) for c in found])]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "terms"])
 
     rows = texts.mapInArrow(run, "doc_id long, toxic int, terms string").groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms")).collect()
-    return [(r["doc_id"], r["toxic"], Counter(r["terms"].split("\n") if r["terms"] else [])) for r in sorted(rows, key=lambda r: r["doc_id"])]
-
-
-def select_terms(examples: list[tuple[int, int, Counter]], most: int = TERMS) -> list[str]:
-    n1 = sum(t for _, t, _ in examples)
-    n0 = len(examples) - n1
-    if not n1 or not n0:
-        return []
-    df: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for _, toxic, counts in examples:
-        for t in counts:
-            df[t][toxic] += 1
-    names = sorted(t for t, (a, b) in df.items() if a + b >= 3)
-    b, a = (np.array([df[t][k] for t in names], float) for k in (0, 1))
-    if not names:
-        return []
-    g = np.where(a / n1 > b / n0, _g(a, b, n1, n0), 0)
-    order = [i for i in np.argsort(-g, kind="stable")[:most] if g[i] >= LEAST_G]
-    return sorted(names[i] for i in order)
-
-
-def _frequencies(docs: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
+    return [(r["doc_id"], r["toxic"], r["terms"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def _frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[int, np.ndarray]:
     """How many documents there are and how many have each term, over all of them."""
+    sent = docs.sparkSession.sparkContext.broadcast(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, df, n = {t: i for i, t in enumerate(names)}, np.zeros(len(names), np.int64), 0
+        number = sent.value
+        df = np.zeros((len(number) // RUN + 1) * RUN, np.int64)
         for b in tokens.pieces(batches):
-            for counts in _documents(b.column("text"), index):
-                n += 1
-                df[list(counts)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(names))), pa.array(np.concatenate([[n], df]))], ["term", "n"])
+            df[-1] += b.num_rows  # after the last term
+            df[: len(number)] += np.bincount(_counted(b.column("text"), number)[1], minlength=len(number))
+        runs = df.reshape(-1, RUN)
+        seen = np.flatnonzero(runs.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([runs[i].tobytes() for i in seen], pa.binary())], ["run", "df"])
 
-    found = dict(docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    return found.get(-1, 0), np.array([found.get(i, 0) for i in range(len(names))], float)
+    def add(run: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in run.column("df").to_pylist())
+        return pa.table({"run": run.column("run").slice(0, 1), "df": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "run long, df binary"
+    df = np.zeros((len(number) // RUN + 1, RUN), np.int64)
+    for r in docs.select("text").mapInArrow(run, kind).groupBy("run").applyInArrow(add, kind).collect():  # 8 bytes a term
+        df[r["run"]] = np.frombuffer(r["df"], np.int64)
+    df = df.ravel()
+    return int(df[-1]), df[: len(number)].astype(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, sample: int = SAMPLE) -> Index:
     """Learn from labelled rows whose crc32(doc_id as text) mod ``parts`` is not ``part``."""
     examples = _sample(docs, labels, sample, parts, part)
-    names = select_terms(examples)
-    n, df = _frequencies(docs, names)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    number = {t: i for i, t in enumerate(names)}
-    bare = [toxic for _, toxic, counts in examples if not any(t in number for t in counts)]
-    prior = sum(bare) / len(bare) if bare else 0.0
-    vectors, toxic, ids = [], [], []
-    for doc_id, label, counts in examples:
-        row = np.zeros(len(names))
-        for t, c in counts.items():
-            if t in number:
-                row[number[t]] = (1 + np.log(c)) * idf[number[t]]
-        if row.any():
-            vectors.append(row / np.sqrt((row * row).sum()))
-            toxic.append(label)
-            ids.append(doc_id)
-    shape = np.array(vectors).reshape(len(vectors), len(names))
-    return Index(names, idf, shape, np.array(toxic, float), np.array(ids, np.int64), prior)
-
-
-def _scores(batch: pa.RecordBatch, index: Index, k: int) -> list[tuple[float, list[int]]]:
-    return [index.score(c, k) for c in _documents(batch.column("text"), index.number)]
+    toxic, ids = np.array([t for _, t, _ in examples], float), np.array([i for i, _, _ in examples], np.int64)
+    number: dict[str, int] = {}
+    per, terms, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, _, text in examples:
+        found = Counter(text.split("\n") if text else [])
+        per.append(len(found))
+        terms.append(np.array([number.setdefault(t, len(number)) for t in found], np.int64))
+        counts.append(np.array(list(found.values()), np.int64))
+    term, count, example = np.concatenate(terms), np.concatenate(counts), np.repeat(np.arange(len(examples)), per)
+    n, df = _frequencies(docs, number)
+    n1 = int(toxic.sum())
+    both = np.bincount(term, minlength=len(number))
+    a = np.bincount(term, toxic[example], len(number))
+    g = np.maximum(_g(a, both - a, n1, len(examples) - n1), 0) / max(1, len(examples)) if examples else np.zeros(0)
+    idf = (np.log((1 + n) / (1 + df)) + 1) * np.sqrt(np.where(g > 1e-12, g, 0))
+    weight = (1 + np.log(count)) * idf[term]
+    norm = np.sqrt(np.bincount(example, weight * weight, len(examples)))
+    at = np.flatnonzero(weight > 0)
+    vectors = example[at], term[at], weight[at] / norm[example[at]]
+    return Index(list(number), idf, vectors, toxic, ids, n1 / len(examples) if examples else 0.0)
+
+
+def _scores(texts: pa.Array, index: Index, k: int) -> list[tuple[float, list[int]]]:
+    doc, term, n = _counted(texts, index.number)
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+    out = []
+    for i in range(0, len(texts), BLOCK):
+        own = ends[i : i + BLOCK + 1]
+        vectors = [index.vector(term[a:b], n[a:b]) for a, b in zip(own, own[1:], strict=False)]
+        out += [index.score(at, weight, base, k) for (at, weight), base in zip(vectors, index.by_common(vectors), strict=True)]
+    return out
 
 
 def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
@@ -219,8 +291,9 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for b in tokens.pieces(batches):
-            found = _scores(b, sent.value, k)
+            found = _scores(b.column("text"), index, k)
             cols = [b.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "evidence"])
 
@@ -242,8 +315,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> Da
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for b in tokens.pieces(batches, f"c{at}"):
-            found = _scores(pa.RecordBatch.from_arrays([b.column(at)], ["text"]), sent.value, k)
+            found = _scores(b.column(at), index, k)
             yield b.filter(pa.array([s < 0.5 for s, _ in found], pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -168,6 +168,25 @@ def test_toxicity_finds_held_out_rows(spark, labelled):
     assert {i for i, t in labels if not t} <= ids and len(ids & {i for i, t in labels if t}) < 20
 
 
+def test_words_of_few_toxic_examples_are_not_left_out(spark):
+    rng = np.random.default_rng(9)
+    vocabulary, bad = [f"w{i}" for i in range(300)], ["scum", "idiot", "vequmo", "trash", "moron", "filth"]
+    rows, labels = [], []
+    for i in range(150):
+        toxic = int(i % 5 == 0)
+        words = list(rng.choice(vocabulary, 30)) + (list(rng.choice(bad, 2, replace=False)) if toxic else [])
+        rows.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, toxic))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    index = knn.fit(frame(spark, rows), marks)
+    examples = {i for i, _ in labels if knn.fold_of(i, 5)}
+    assert set(index.ids.tolist()) == examples == set(index.ids[np.unique(index.vectors[0])].tolist())
+    assert set(index.terms) == {t for i, x in rows if i in examples for w in x.split() for t in knn.terms_of(w.encode())}
+    truth = dict(labels)
+    held = [(truth[r.doc_id], r.score) for r in knn.digest(frame(spark, rows), marks).collect() if r.held_out]
+    assert min(s for t, s in held if t) >= 0.5 > max(s for t, s in held if not t)
+
+
 def test_search_equals_brute_force(labelled):
     rows, labels = labelled
     counts = [Counter(t for w in x.split() for t in knn.terms_of(w.encode())) for _, x in rows]
