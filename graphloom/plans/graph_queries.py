@@ -289,12 +289,12 @@ def group_centrality(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def second_order(spark: SparkSession, d: str) -> DataFrame:
-    return centrality.second_order(trade_graph(spark, d), 20, 10)
+    return centrality.second_order(trade_graph(spark, d))
 
 
 @query()
 def current_flow_closeness(spark: SparkSession, d: str) -> DataFrame:
-    return centrality.current_flow_closeness(trade_graph(spark, d), 20, 10)
+    return centrality.current_flow_closeness(trade_graph(spark, d))
 
 
 @query(f"WITH {PATHS} SELECT v AS id, d FROM sp WHERE s = 'n03' ORDER BY d, v LIMIT 50")

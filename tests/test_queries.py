@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from graphloom.operators import centrality
 from graphloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,16 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     order = sorted(columns)
     want = sorted((tuple(plain(dict(zip(columns, r, strict=True))[c]) for c in order) for r in found.fetchall()), key=str)
     assert sorted((tuple(plain(r[c]) for c in order) for r in df.collect()), key=str) == want
+
+
+@pytest.mark.parametrize(("name", "expect"), [("second_order", (50, 50)), ("current_flow_closeness", (30, 50))])
+def test_walk_queries_use_as_many_and_as_long_walks_as_the_reference(spark, monkeypatch, name, expect):
+    seen = []
+
+    def walks(g, walks, steps, seed):
+        seen.append((walks, steps))
+        return g.nodes.limit(0).selectExpr("id AS s", "0 AS walk", "id AS x", "1 AS step")
+
+    monkeypatch.setattr(centrality, "_walks", walks)
+    catalog.QUERIES[name](spark, SF)
+    assert seen == [expect]
