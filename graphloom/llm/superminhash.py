@@ -10,14 +10,19 @@
    Shingles that no other candidate has bound what a node can share; nodes whose bound
    stays under the threshold leave the buckets, so loose copies of one text, which share
    buckets with all others but are linked with none, cost nothing further.
-3. Candidates are verified on whole sets in rounds, so that no bucket's pairs are all
-   written down: first every node against the hub it shares most keys with (a bucket's
-   hub is the node with the smallest share of shingles of its own), then every
-   node against the label (the component's smallest node) of its own component and of
-   the components that it meets in a bucket, until no round links anything.
-4. What remains are pairs in one bucket with different labels. Jaccard distance obeys
-   the triangle inequality, so a pair whose known distances to a label differ by more
-   than the threshold's distance cannot be linked; the others are verified.
+3. Candidates are verified on whole sets. Every node is first tried against the hub that
+   it shares most keys with (a bucket's hub is the node with the smallest share of
+   shingles of its own); what is linked is one component already.
+4. Buckets that still hold several components are settled relative to their hub h: a
+   member x is its difference D(x) = x xor h, and the difference of two members is
+   D(x) xor D(y), so two short arrays decide a pair. Buckets up to a fixed amount of work
+   settled by an inverted index of the differences in one task, which returns a spanning
+   set of links and no pairs. Larger ones are narrowed first: if both members are linked
+   with h nothing is left to prove, else the threshold asks for a least overlap of D(x)
+   and D(y), so the two share one of the first elements of D in an order that puts
+   elements of many members last (prefix filter); each of these elements is a bucket of
+   the next level, a part of its parent without the hub. What is too large then as well
+   (copies that share most of their edits) is dealt into pairs of blocks.
 5. Components come from label propagation with pointer jumping over written tables.
 
 A pair at the threshold shares no band with probability (1 - s^rows)^bands: 6e-11 at
@@ -37,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +52,8 @@ from graphloom.llm import words as W
 from graphloom.llm.store import discard, materialize
 
 BANDS, ROWS = 32, 4
+#: Members times elements of their differences that one task settles at most; larger units are split.
+WORK = 1 << 29
 _ONE = np.uint64(1)
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
@@ -232,7 +240,116 @@ def _possible(members: DataFrame, profiles: DataFrame, percent: int) -> DataFram
     return materialize(kept.select("node", "key", (F.col("own") / F.col("size")).alias("alone")), "members")
 
 
-def node_labels(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (key, node, alone) of the keys that hold nodes with different labels."""
+    named = members.join(labels, "node")
+    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    return members.join(several, "key", "left_semi")
+
+
+def _with_hub(members: DataFrame) -> DataFrame:
+    """Adds ``hub``, the member with the smallest share of shingles of its own, and leaves it out of the rows."""
+    hubs = members.groupBy("key").agg(F.min(F.struct("alone", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    return members.join(hubs, "key").filter("node <> hub")
+
+
+def _deltas(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Adds size, hub_size, delta (the shingles that node or hub has alone) and linked to rows (unit, hub, node, alone)."""
+    own = sets.select("node", F.col("set").alias("set_a"))
+    of_hub = sets.select(F.col("node").alias("hub"), F.col("set").alias("set_h"))
+    met = units.join(own, "node").join(of_hub, "hub")
+    delta = F.concat(F.array_except("set_a", "set_h"), F.array_except("set_h", "set_a"))
+    out = met.select("unit", "hub", "node", "alone", F.size("set_a").cast("long").alias("size"), F.size("set_h").cast("long").alias("hub_size"), delta.alias("delta"))
+    return out.withColumn("linked", (100 + percent) * F.size("delta") <= (100 - percent) * (F.col("size") + F.col("hub_size")))
+
+
+def _unsettled(deltas: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of units that hold several labels, with node_label, hub_label, n (members) and work."""
+    names = labels.withColumnRenamed("label", "node_label")
+    named = deltas.join(names, "node").join(names.toDF("hub", "hub_label"), "hub")
+    several = named.groupBy("unit").agg(
+        F.count("*").alias("n"),
+        (F.count("*") * F.sum(F.size("delta"))).alias("work"),
+        F.min(F.least("node_label", "hub_label")).alias("lo"),
+        F.max(F.greatest("node_label", "hub_label")).alias("hi"),
+        F.bool_and("linked").alias("all_linked"),
+    )
+    several = several.filter("lo <> hi AND NOT all_linked AND n > 1").select("unit", "n", "work")
+    return named.join(several, "unit")
+
+
+def _dealt(units: DataFrame, work: int) -> DataFrame:
+    """Each unit as pairs of blocks of its rows, every pair a unit of at most about ``work``."""
+    blocks = F.ceil(2 * F.sqrt(F.col("work") / work)).cast("int")
+    rows = units.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("unit", F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
+
+
+def _settled(units: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the labels of each unit's nodes as all its pairs would."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_pylist()
+        delta = table.column("delta").combine_chunks()
+        size, linked = table.column("size").to_numpy(), table.column("linked").to_numpy()
+        d = pc.list_value_length(delta).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = np.unique(delta.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        ends = np.cumsum(d)
+        order = np.argsort(codes, kind="stable")
+        holder = np.repeat(np.arange(len(d)), d)[order]  # the members that have each element
+        first = np.searchsorted(codes[order], np.arange(codes.max() + 2 if len(codes) else 1))
+        name = np.unique(np.array([x.hex() for x in table.column("node_label").to_pylist()]), return_inverse=True)[1]
+        out = []
+        for x in np.flatnonzero(~linked).tolist():  # two linked ones are in the hub's component
+            if (name == name[x]).all():
+                continue
+            own = codes[ends[x] - d[x] : ends[x]]
+            met = holder[W.ranges(first[own], first[own + 1] - first[own])]
+            shared = np.bincount(met, minlength=len(d))
+            near = (100 + percent) * (d[x] + d - 2 * shared) <= (100 - percent) * (size[x] + size)
+            for y in np.flatnonzero(near & (name != name[x])).tolist():
+                if name[y] != name[x]:
+                    out.append((nodes[x], nodes[y]))
+                    name[name == name[y]] = name[x]
+        return pa.table([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    rows = units.select("unit", "node", "node_label", "size", "linked", "delta")
+    return rows.groupBy("unit").applyInArrow(settle, "a binary, b binary")
+
+
+def _narrowed(open_: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, node, alone) of the buckets in which each pair that may still be linked meets.
+
+    With d = |D(x)|, sizes s and H of x and hub and c = (100 - percent) / (100 + percent), a
+    link asks for 2 |D(x) & D(y)| >= d + |D(y)| - c (s + |y|). An unlinked partner has
+    |D(y)| > c (|y| + H), which leaves more than (d + c (H - s)) / 2; a linked partner has
+    at least the overlap as |D(y)| and at most s * 100 / percent shingles, which leaves
+    d - s (100 - percent) / percent. Pairs of two unlinked nodes and pairs of an unlinked
+    with a linked one meet in buckets of different kinds.
+    """
+    c, g, e = (100 - percent) / (100 + percent), (100 - percent) / percent, 1e-6
+    # elements that many members of a unit have: under 8 times a delta's average length, whatever the unit holds
+    often = open_.select("unit", "n", F.explode("delta").alias("x")).groupBy("unit", "x").agg(F.count("*").alias("times"), F.any_value("n").alias("n"))
+    often = often.filter("times > 1 AND 8 * times > n").groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("x", "times"))).alias("often"))
+    d, s, h = F.size("delta"), F.col("size"), F.col("hub_size")
+    half = F.greatest(F.lit(1), F.floor((d + c * (h - s)) / 2 - e) + 1)
+    far = F.greatest(F.lit(1), F.ceil(d - s * g - e))
+    order = "array_sort(transform(delta, x -> struct(coalesce(try_element_at(often, x), 0L) AS times, xxhash64(x) AS mixed, x AS x)))"
+    sorted_ = open_.join(often, "unit", "left").withColumn("delta", F.expr(f"transform({order}, s -> s.x)"))
+    first = lambda least: F.slice("delta", 1, F.greatest(F.lit(0), d - least + 1).cast("int"))
+    kind = lambda name, part: F.struct(F.lit(name).alias("kind"), part.alias("elements"))
+    nothing = F.slice("delta", 1, 0)
+    kinds = F.array(
+        kind("unlinked", F.when(F.col("linked"), nothing).otherwise(first(half))),
+        kind("mixed", F.when(F.col("linked"), first(half)).when(d - s * g - e <= h * g, first(far)).otherwise(nothing)),
+    )
+    by_kind = sorted_.select("unit", "node", "alone", F.explode(kinds).alias("k"))
+    out = by_kind.select("unit", "node", "alone", "k.kind", F.explode("k.elements").alias("x"))
+    return out.select(F.xxhash64("unit", "x", "kind").alias("key"), "node", "alone")
+
+
+def node_labels(docs: DataFrame, rows: DataFrame, size: int, percent: int, work: int = WORK) -> DataFrame:
     """Rows (node, label) of the nodes that share a band key with another one."""
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(_id("doc_id").alias("id"), "text_key")).alias("at"), F.any_value("keys").alias("keys"))
     buckets = nodes.select("node", F.explode("keys").alias("key"))
@@ -250,54 +367,39 @@ def node_labels(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
     tested = [materialize(_verified(best, sets), "pairs")]
     labels = _relabel(materialize(members.select("node").distinct().select("node", F.col("node").alias("label")), "nodes"), tested[0].filter(linked))
 
-    # Rounds: each node against its own label and the labels it meets in buckets.
-    while True:
-        named = members.drop("alone").join(labels, "node")
-        several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        open_ = materialize(named.join(several, "key", "left_semi"), "open")
-        meets = open_.select("key", F.col("label").alias("other")).distinct()
-        pairs = open_.join(meets, "key").filter("node <> other").select(*_pair("node", "other")).distinct()
-        done = tested[0]
-        for t in tested[1:]:
-            done = done.union(t)
-        found = materialize(_verified(pairs.join(done, ["a", "b"], "left_anti"), sets), "pairs")
-        tested.append(found)
-        merging = found.filter(linked).join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").filter("la <> lb")
-        if not merging.limit(1).count():
+    level = _open(members, labels)
+    group = F.xxhash64(F.lit(0), "hub")  # keys with one hub are one unit, so each node tries a hub once
+    units = materialize(_with_hub(level).select(group.alias("unit"), "hub", "node", "alone").distinct(), "units")
+    for last in (False, True):
+        deltas = materialize(_deltas(units, sets, percent), "deltas")
+        links = deltas.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        older, labels = labels, _relabel(labels, links)
+        unsettled = materialize(_unsettled(deltas, labels), "unsettled")
+        small, large = unsettled.filter(f"work <= {work}"), unsettled.filter(f"work > {work}")
+        found = materialize(_settled(small.unionByName(_dealt(large, work)) if last else small, percent), "links")
+        later, labels = labels, _relabel(labels, found)
+        for used in (units, deltas, older, later, found):
+            discard(used)
+        if last or not large.limit(1).count():
+            discard(unsettled)
             break
-        older, labels = labels, _relabel(labels, found.filter(linked))
-        discard(open_)
-        discard(older)
-
-    # What is left: different labels in one bucket, not excluded by the triangle inequality.
-    known = found.union(done).select("a", "b", (1 - F.col("common") / F.col("united")).alias("d"))
-    known = known.union(known.select("b", "a", "d")).toDF("node", "hub", "d")
-    known = known.join(labels.select(F.col("label").alias("hub")).distinct(), "hub", "left_semi").distinct()
-    self_ = labels.filter("node = label").select("node", F.col("label").alias("hub"), F.lit(0.0).alias("d"))
-    known = materialize(known.union(self_).distinct(), "distances")
-    near = 1 - percent / 100 + 1e-9
-    own = open_.join(known.withColumnRenamed("hub", "label").withColumnRenamed("d", "own"), ["node", "label"])
-    cross = meets.join(own, "key").filter("other <> label").select("key", "node", "label", "own", "other")
-    cross = cross.join(known.withColumnRenamed("hub", "other").withColumnRenamed("d", "far"), ["node", "other"])
-    x = cross.select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("own").alias("ox"), F.col("other").alias("ly"), F.col("far").alias("fx"))
-    y = cross.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("own").alias("oy"), F.col("other").alias("lx"), F.col("far").alias("fy"))
-    left = x.join(y, (x["key"] == y["key"]) & (x["lx"] == y["lx"]) & (x["ly"] == y["ly"]) & (x["lx"] < x["ly"]) & (F.abs(x["fx"] - y["oy"]) <= near) & (F.abs(y["fy"] - x["ox"]) <= near))
-    left = left.select(*_pair("x", "y")).distinct().join(done.union(found), ["a", "b"], "left_anti")
-    rest = materialize(_verified(left, sets).filter(linked), "pairs")
-    out = _relabel(labels, rest)
-    for used in (sets, members, open_, known, rest, labels, *tested):
+        narrowed = materialize(_narrowed(large, percent), "narrowed")
+        units = materialize(_with_hub(_open(narrowed, labels)).select(F.col("key").alias("unit"), "hub", "node", "alone"), "units")
+        discard(narrowed)
+        discard(unsettled)
+    for used in (sets, members, *tested):
         discard(used)
-    return out
+    return labels
 
 
-def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80, work: int = WORK) -> DataFrame:
     """Rows (doc_id, text_key, n_shingles, component_id, first_key): the class of every row.
 
     ``component_id`` is the smallest doc_id of the class, ``first_key`` the text key of the
     row that stands for it. Links need 100 * common >= percent * united shingles.
     """
     rows = materialize(signed(docs, size), "signed")
-    labels = node_labels(docs, rows, size, percent)
+    labels = node_labels(docs, rows, size, percent, work)
     per_node = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
     named = per_node.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("class"))
     classes = named.groupBy("class").agg(F.min("first").alias("least"))
@@ -308,17 +410,19 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return full.unionByName(blank)
 
 
-def digest(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def digest(docs: DataFrame, size: int = 5, percent: int = 80, work: int = WORK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
-    out = grouped(docs, size, percent)
+    out = grouped(docs, size, percent, work)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their class, one each; rows without words all stay."""
     chosen = grouped(docs, size, percent).filter("n_shingles > 0 AND doc_id <=> component_id AND text_key = first_key")
-    chosen = chosen.select(_id("doc_id").alias("__graphloom_id"), F.col("text_key").alias("__graphloom_key")).distinct()
-    rows = docs.withColumn("__graphloom_id", _id("doc_id")).withColumn("__graphloom_key", F.xxhash64("text"))
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = rows.filter(worded).join(chosen, ["__graphloom_id", "__graphloom_key"], "left_semi").dropDuplicates(["__graphloom_id", "__graphloom_key"])
-    return kept.unionByName(rows.filter(~worded)).select(*docs.columns)
+    chosen = chosen.select(_id("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    rows = docs.toDF(*names).withColumn("id", _id(id_)).withColumn("key", F.xxhash64(text))
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = rows.filter(worded).join(chosen, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return kept.unionByName(rows.filter(~worded)).select(*names).toDF(*docs.columns)

@@ -89,6 +89,12 @@ def inside(words: Words, n: int) -> np.ndarray:
     return ends[:m] - np.arange(m) >= n
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def planes(values: np.ndarray) -> bytes:
     """Unsigned numbers, byte by byte over all of them, without bytes that are always 0."""
     if not len(values):

@@ -117,6 +117,27 @@ def test_groups_match_brute_force(spark, families, size, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows if r.component_id is not None)
 
 
+@pytest.mark.parametrize("work", [superminhash.WORK, 1 << 18])
+def test_loose_copies_of_one_text_match_brute_force(spark, work):
+    """Copies that share edits, most of them linked with few others; small units force splitting."""
+    rng = np.random.default_rng(21)
+    base = [f"w{i}" for i in range(140)]
+    shared = [(int(rng.integers(0, 138)), str(i)) for i in range(60)]
+    rows = []
+    for d in range(300):
+        words = list(base)
+        for e in rng.choice(60, int(rng.integers(0, 12)), replace=False):
+            at, name = shared[e]
+            words[at] = "" if e % 3 == 0 else f"edit{name}"
+        if d % 4 == 0:
+            words[int(rng.integers(0, 140))] = f"own{d}"
+        rows.append((d, " ".join(words)))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in superminhash.digest(frame(spark, rows), 3, 85, work).collect()}
+    want = brute_groups(rows, 3, 85)
+    assert got == set(want)
+    assert 10 < len({c for _, _, c in want}) < 290
+
+
 def test_first_of_each_keeps_one_row_a_class(spark, families):
     df = frame(spark, families)
     out = superminhash.first_of_each(df, 5, 80)
