@@ -1,40 +1,47 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are lower-case words without outer punctuation, and their first 4 and 5 letters
-(so that inflected forms meet). A bounded sample of labelled rows (``sample`` rows, those
-with the smallest hash of doc_id) gives the examples. All their terms are indexed; the
-document frequency of each is counted over all documents. Examples and documents are
-vectors of unit length over these terms, weighted by TF-IDF and by the root of how much
-the label depends on the term's presence (G, per example), so that words of the subject
-weigh little beside words of the label. All examples vote: the ``neighbours`` nearest by
-cosine, with their similarity as weight, against a prior, the share of toxic examples.
-
-The search is exact. Postings are kept in blocks of 64 examples with the largest weight
-of each term in each block; the blocks with the largest upper bounds are searched, and
-then all others that can still reach the k-th best similarity. Terms of many examples
-are whole rows instead, multiplied for many documents at once.
+(so that inflected forms meet), each known by its 64-bit hash. A bounded sample of
+labelled rows (``sample`` rows, those with the smallest hash of doc_id) gives the
+examples. All their terms are indexed; the document frequency of each is counted over all
+documents. Examples and documents are vectors of unit length over these terms, weighted
+by TF-IDF and by the root of how much the label depends on the term's presence (G, per
+example), so that words of the subject weigh little beside words of the label. All
+examples vote: the ``neighbours`` nearest by cosine, with their similarity as weight,
+against a prior, the share of toxic examples. Votes become scores by a logistic curve
+that is fitted to the votes of the examples themselves, each judged by the others.
+
+The search is exact. Postings are kept in blocks of ``BLOCK`` examples (toxic ones first,
+so that blocks differ) with the largest weight of each term in each block; the blocks
+with the largest upper bounds are searched, and then all others that can still reach the
+k-th best similarity. Terms of many examples are whole rows instead, multiplied for many
+documents at once.
 
 The index is bounded by ``sample`` and the terms of its texts whatever the corpus holds,
-so it is sent to every task. Nothing else is gathered: document frequencies are one
-number a term, summed in runs of ``RUN`` terms.
-
-Edge cases: null or empty texts and texts without a term that depends on the label get the prior; labels
-that are null are not learned from; repeated labels count once (the largest); a labelled
-doc_id without text or with several rows is one example (its smallest text); without
-labelled rows every score is 0; ties between neighbours go to the smaller example number;
-an empty table gives an empty result; extra columns are ignored, or carried by
+so it is sent to every task: a hash a term, and an example's number and a count a posting;
+weights are computed where it arrives. Document frequencies are one number a term,
+summed in runs of ``RUN`` terms. Any two of n terms share a hash with probability
+n^2 / 2^65.
+
+Edge cases: null or empty texts and texts without a term that depends on the label get the
+score of the prior; labels that are null are not learned from; repeated labels count once
+(the largest); a labelled doc_id without text is no example, and with several rows it is
+one (its smallest terms); without labelled rows every score is 0, and with one label only
+votes are not calibrated; ties between neighbours go to the smaller example number; an
+empty table gives an empty result; extra columns are ignored, or carried by
 :func:`without_toxic`.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,125 +51,132 @@ from graphloom.llm import words as W
 SAMPLE, NEIGHBOURS = 6000, 15
 _PRIOR_WEIGHT = 0.5
 _OUTER = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‘’…¿¡–—"
-BLOCK, AHEAD, RUN = 64, 8, 1024
-#: Terms that more than this share of the examples have are kept as whole rows.
-COMMON = 0.1
+BLOCK, AHEAD, RUN, TOGETHER = 1024, 1, 1024, 64
+#: Size of the whole rows, in single precision, that the most frequent terms have.
+ROW_BYTES = 64 << 20
+#: Similarities that differ by less are ties; single precision leaves smaller errors.
+_TIE = 1e-5
+#: Entries of a worker's cache of words.
+CACHE_WORDS = 200_000
 
 
-def terms_of(word: bytes) -> tuple[str, ...]:
+def terms_of(word: bytes) -> tuple[int, ...]:
+    """Hashes of a word's terms."""
     w = word.decode().lower().strip(_OUTER)
     if not w:
         return ()
-    return (w, *((w[:n] + "*") for n in (4, 5) if len(w) > n))
+    return tuple(xxhash.xxh3_64_intdigest(t) for t in (w, *(w[:n] + "*" for n in (4, 5) if len(w) > n)))
 
 
-def _documents(texts: pa.Array) -> list[Counter]:
-    """Per text a Counter of its terms."""
+def _counted(texts: pa.Array, of_word) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, occurrences), ordered; ``of_word`` gives the terms of a word."""
     words = W.split(texts, lower=True)
-    of_word = [terms_of(w) for w in words.vocabulary]
-    out: list[Counter] = [Counter() for _ in range(len(words.offsets) - 1)]
-    for d, i in zip(words.owner().tolist(), words.ids.tolist(), strict=True):
-        out[d].update(of_word[i])
-    return out
+    found = [of_word(w) for w in words.vocabulary]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(chain.from_iterable(found), np.uint64, int(lengths.sum()))
+    if not len(words.ids) or not len(flat):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    own, code = np.unique(flat, return_inverse=True)
+    per = lengths[words.ids]
+    code = code[W.ranges((np.cumsum(lengths) - lengths)[words.ids], per)]
+    key, n = np.unique(np.repeat(words.owner(), per) * len(own) + code, return_counts=True)
+    return key // len(own), own[key % len(own)], n
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+class Numbers(dict):
+    """Maps a word to the numbers of those of its terms that are among ``terms`` (ascending)."""
 
+    def __init__(self, terms: np.ndarray):
+        super().__init__()
+        self.terms = terms
 
-def _counted(texts: pa.Array, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, number of a term, occurrences), ordered, of the terms that have a number."""
-    words = W.split(texts, lower=True)
-    of_word = [[number[t] for t in terms_of(w) if t in number] for w in words.vocabulary]
-    if not len(words.ids):
-        return (np.zeros(0, np.int64),) * 3
-    lengths = np.array([len(ts) for ts in of_word], np.int64)
-    flat = np.array([t for ts in of_word for t in ts], np.int64)
-    per = lengths[words.ids]
-    term = flat[_ranges((np.cumsum(lengths) - lengths)[words.ids], per)]
-    key, n = np.unique(np.repeat(words.owner(), per) * len(number) + term, return_counts=True)
-    return key // max(1, len(number)), key % max(1, len(number)), n
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        hashes = np.array(terms_of(word), np.uint64)
+        at = np.minimum(np.searchsorted(self.terms, hashes), max(0, len(self.terms) - 1))
+        same = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
+        self[word] = found = tuple(at[same].tolist())
+        return found
+
+    def counted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        doc, term, n = _counted(texts, self.__getitem__)
+        return doc, term.astype(np.int64), n
 
 
 @dataclass
 class Index:
     """Unit vectors of the examples as a block-max inverted index."""
 
-    terms: list[str]
+    terms: np.ndarray  # hashes, ascending
     idf: np.ndarray  # of each term, with the weight of the label's dependence on it
-    vectors: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray] | None  # (examples, terms), or example, term and weight of what is not 0
+    example: np.ndarray  # of each posting; postings are ordered by term and example
+    count: np.ndarray
+    lengths: np.ndarray  # postings of each term
     toxic: np.ndarray
     ids: np.ndarray
-    prior: float
+    curve: tuple[float, float] | None = None  # slope and intercept of the logistic curve
 
-    def __post_init__(self):
-        if isinstance(self.vectors, np.ndarray):
-            at = np.nonzero(self.vectors)
-            self.vectors = (*at, self.vectors[at])
-        example, term, weight = self.vectors
-        order = np.lexsort((example, term))
-        self.vectors = example[order].astype(np.int32), term[order].astype(np.int32), weight[order]
-        self.built = False
+    @property
+    def prior(self) -> float:
+        return float(self.toxic.mean()) if len(self.toxic) else 0.0
 
     def __getstate__(self):
-        """Without what :meth:`build` makes, as each task is sent a copy."""
-        example, term, weight = self.vectors
-        lengths = np.bincount(term, minlength=len(self.terms)).astype(np.int32)
-        small = example.astype(np.int16) if len(self.ids) < 1 << 15 else example
-        return zlib.compress("\n".join(self.terms).encode()), self.idf, small, lengths, weight, self.toxic, self.ids, self.prior
+        """In the smallest types, and without what :meth:`build` makes."""
+        small = lambda x: x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+        return self.terms, self.idf, small(self.example), small(self.count), small(self.lengths), self.toxic.astype(bool), self.ids, self.curve
 
     def __setstate__(self, state):
-        terms, self.idf, example, lengths, weight, self.toxic, self.ids, self.prior = state
-        self.terms = zlib.decompress(terms).decode().split("\n") if len(lengths) else []
-        self.vectors = example.astype(np.int32), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), weight
-        self.build()
-        self.vectors = None
-
-    def build(self):
-        example, term, weight = self.vectors
-        self.number, self.built = {t: i for i, t in enumerate(self.terms)}, True
-        often = np.bincount(term, minlength=len(self.terms)) > COMMON * len(self.ids)
-        self.common = np.where(often, np.cumsum(often) - 1, -1)  # terms whose weights are kept as rows for all examples
-        self.rows = np.zeros((int(often.sum()), len(self.ids)))
-        self.rows[self.common[term[often[term]]], example[often[term]]] = weight[often[term]]
-        example, term, weight = (x[~often[term]] for x in (example, term, weight))
-        self.example, self.weight = example, weight
+        self.terms, self.idf, self.example, self.count, self.lengths, toxic, self.ids, self.curve = state
+        self.toxic = toxic.astype(float)
+
+    def build(self) -> Index:
+        example, term = self.example.astype(np.int32), np.repeat(np.arange(len(self.terms), dtype=np.int32), self.lengths)
+        weight = (1 + np.log(self.count.astype(float))) * self.idf[term]
+        weight /= np.sqrt(np.bincount(example, weight * weight, len(self.ids)))[example]
+        often = np.zeros(len(self.terms), bool)
+        often[np.argsort(-self.lengths.astype(np.int64), kind="stable")[: ROW_BYTES // (4 * max(1, len(self.ids)))]] = True
+        self.common = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), len(self.ids)), np.float32)
+        of_row = often[term]
+        self.rows[self.common[term[of_row]], example[of_row]] = weight[of_row]
+        example, term, weight = (x[~of_row] for x in (example, term, weight))
+        self.of_posting, self.weight = example, weight
         self.n_blocks = -(-len(self.ids) // BLOCK)
         # runs of postings of one term in one block
-        run = term.astype(np.int64) * self.n_blocks + self.example // BLOCK
+        run = term.astype(np.int64) * self.n_blocks + example // BLOCK
         first = np.flatnonzero(np.diff(run, prepend=-1))
-        self.run_start, self.run_length = first, np.diff(first, append=len(run))
-        self.run_block = self.example[first] // BLOCK
-        self.run_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.runs_of = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
+        self.run_start, self.run_length = first.astype(np.int32), np.diff(first, append=len(run)).astype(np.int32)
+        self.run_block = example[first] // BLOCK
+        self.run_max = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        self.runs_of = np.searchsorted(term[first], np.arange(len(self.terms) + 1)).astype(np.int32)
+        self.numbers = Numbers(self.terms)
+        return self
+
+    def vectors_of_examples(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each example, its terms ascending."""
+        term = np.repeat(np.arange(len(self.terms)), self.lengths)
+        order = np.argsort(self.example, kind="stable")
+        limits = np.searchsorted(self.example[order], np.arange(1, len(self.ids)))
+        return [self.vector(t, n) for t, n in zip(np.split(term[order], limits), np.split(self.count[order], limits), strict=True)]
 
     def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of unit length; none if nothing has a weight."""
-        weight = (1 + np.log(n)) * self.idf[at]
-        at, weight = at[weight > 0], weight[weight > 0]
+        weight = (1 + np.log(n.astype(float))) * self.idf[at]
         return at, weight / np.sqrt((weight * weight).sum()) if len(at) else weight
 
-    def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, similarities) of the k nearest with a similarity over 0, best first."""
-        if not self.built:
-            self.build()
-        at = np.array(sorted(counts), np.int64)
-        at, weight = self.vector(at, np.array([counts[i] for i in at.tolist()], np.int64))
-        return self.search(at, weight, self.by_common([(at, weight)])[0], k)
-
     def by_common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What common terms add to the similarity of each vector with each example."""
-        own = np.zeros((len(vectors), len(self.rows)))
+        own = np.zeros((len(vectors), len(self.rows)), np.float32)
         for row, (at, weight) in zip(own, vectors, strict=True):
             c = self.common[at]
             row[c[c >= 0]] = weight[c >= 0]
         return own @ self.rows
 
     def search(self, at: np.ndarray, weight: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, similarities) of the k nearest with a similarity over 0, best first."""
         per = self.runs_of[at + 1] - self.runs_of[at]
-        run, weight = _ranges(self.runs_of[at], per), np.repeat(weight, per)
+        run, weight = W.ranges(self.runs_of[at], per), np.repeat(weight, per)
         block = self.run_block[run]
         bound = np.bincount(block, weight * self.run_max[run], self.n_blocks)
         if len(base):
@@ -172,27 +186,71 @@ class Index:
         for part in (order[:AHEAD], order[AHEAD:]):
             part = part[bound[part] > 0]
             if len(best_s) == k:
-                part = part[bound[part] + 1e-12 >= best_s[-1]]
+                part = part[bound[part] + _TIE >= best_s[-1]]
             if not len(part):
                 break
             wanted = np.zeros(self.n_blocks, bool)
             wanted[part] = True
             here = wanted[block]
             length = self.run_length[run[here]]
-            post = _ranges(self.run_start[run[here]], length)
-            s = np.bincount(self.example[post], np.repeat(weight[here], length) * self.weight[post], len(self.ids)) + base
+            post = W.ranges(self.run_start[run[here]], length)
+            s = np.bincount(self.of_posting[post], np.repeat(weight[here], length) * self.weight[post], len(self.ids)) + base
             e = np.flatnonzero((s > 0) & np.repeat(wanted, BLOCK)[: len(s)])
             if len(e) > k:
-                e = e[s[e] >= np.partition(s[e], -k)[-k] - 1e-11]
+                e = e[s[e] >= np.partition(s[e], -k)[-k] - _TIE]
             best_e, best_s = np.concatenate([best_e, e]), np.concatenate([best_s, s[e]])
-            order_ = np.lexsort((best_e, -np.round(best_s, 12)))[:k]
+            order_ = np.lexsort((best_e, -np.round(best_s / _TIE)))[:k]
             best_e, best_s = best_e[order_], best_s[order_]
         return best_e, best_s
 
-    def score(self, at: np.ndarray, weight: np.ndarray, base: np.ndarray, k: int) -> tuple[float, list[int]]:
-        e, s = self.search(at, weight, base, k)
-        p = (float(s @ self.toxic[e]) + _PRIOR_WEIGHT * self.prior) / (float(s.sum()) + _PRIOR_WEIGHT)
-        return min(1.0, max(0.0, p)), [int(x) for x in self.ids[e[:3]]]
+    def vote(self, e: np.ndarray, s: np.ndarray) -> float:
+        return (float(s @ self.toxic[e]) + _PRIOR_WEIGHT * self.prior) / (float(s.sum()) + _PRIOR_WEIGHT)
+
+    def score(self, vote: float) -> float:
+        if self.curve is None:
+            return min(1.0, max(0.0, vote))
+        return float(1 / (1 + np.exp(-(self.curve[0] * vote + self.curve[1]))))
+
+    def searched(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(vectors), TOGETHER):
+            part = vectors[i : i + TOGETHER]
+            for (at, weight), base in zip(part, self.by_common(part), strict=True):
+                yield self.search(at, weight, base, k)
+
+    def judged(self, texts: pa.Array, k: int) -> list[tuple[float, list[int]]]:
+        """(score, doc_ids of the nearest examples) of each text."""
+        doc, term, n = self.numbers.counted(texts)
+        ends = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+        vectors = [self.vector(term[a:b], n[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        return [(self.score(self.vote(e, s)), [int(x) for x in self.ids[e[:3]]]) for e, s in self.searched(vectors, k)]
+
+
+def fitted_curve(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve of greatest likelihood.
+
+    Targets are drawn in from 0 and 1 by what one more example of each label would do, so
+    the curve stays finite where votes tell the labels apart.
+    """
+    n1, n0 = float(toxic.sum()), float(len(toxic) - toxic.sum())
+    target = np.where(toxic > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.stack([votes, np.ones(len(votes))])
+    at = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
+
+    def loss(at: np.ndarray) -> float:
+        z = at @ x
+        return float((np.logaddexp(0, z) - target * z).sum())
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(at @ x)))
+        slope = x @ (p - target)
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-9 * np.eye(2), slope)
+        size, now = 1.0, loss(at)
+        while size > 1e-6 and loss(at - size * step) > now - 1e-4 * size * float(step @ slope):
+            size /= 2
+        at = at - size * step
+        if abs(size * step).max() < 1e-9:
+            break
+    return float(at[0]), float(at[1])
 
 
 def _g(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
@@ -206,84 +264,98 @@ def _g(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return out
 
 
-def _sample(docs: DataFrame, labels: DataFrame, sample: int, parts: int, part: int) -> list[tuple[int, int, str]]:
-    """The examples with their terms, one a line: at most ``sample`` rows, and so fit for the driver."""
+def _sample(docs: DataFrame, labels: DataFrame, sample: int, parts: int, part: int) -> list[tuple[int, int, bytes, bytes]]:
+    """(doc_id, toxic, hashes, counts) of the examples: at most ``sample`` rows, and so fit for the driver."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
     learned = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold != part))
     learned = learned.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = learned.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tokens.pieces(batches):
-            found = _documents(b.column("text"))
-            cols = [b.column("doc_id"), b.column("toxic"), pa.array(["\n".join(t for t in c for _ in range(c[t])) for c in found])]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "terms"])
+            doc, term, n = _counted(b.column("text"), terms_of)
+            limits = np.searchsorted(doc, np.arange(1, b.num_rows))
+            cols = [pa.array([x.tobytes() for x in np.split(v, limits)], pa.binary()) for v in (term, n.astype("<i4"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *cols], ["doc_id", "toxic", "terms", "counts"])
 
-    rows = texts.mapInArrow(run, "doc_id long, toxic int, terms string").groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms")).collect()
-    return [(r["doc_id"], r["toxic"], r["terms"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    rows = texts.mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary")
+    one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("terms", "counts")).alias("x")).select("doc_id", "toxic", "x.terms", "x.counts")
+    # toxic examples first, so that blocks of the index differ
+    return sorted(((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in one.toLocalIterator()), key=lambda r: (-r[1], r[0]))
 
 
-def _frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[int, np.ndarray]:
+def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     """How many documents there are and how many have each term, over all of them."""
-    sent = docs.sparkSession.sparkContext.broadcast(number)
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = sent.value
-        df = np.zeros((len(number) // RUN + 1) * RUN, np.int64)
+        numbers, n = Numbers(sent.value), len(sent.value)
+        df = np.zeros((n // RUN + 1) * RUN, np.int64)
         for b in tokens.pieces(batches):
             df[-1] += b.num_rows  # after the last term
-            df[: len(number)] += np.bincount(_counted(b.column("text"), number)[1], minlength=len(number))
+            df[:n] += np.bincount(numbers.counted(b.column("text"))[1], minlength=n)
         runs = df.reshape(-1, RUN)
         seen = np.flatnonzero(runs.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([runs[i].tobytes() for i in seen], pa.binary())], ["run", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([W.planes(runs[i].astype(np.uint64)) for i in seen], pa.binary())], ["run", "df"])
 
     def add(run: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in run.column("df").to_pylist())
-        return pa.table({"run": run.column("run").slice(0, 1), "df": pa.array([total.tobytes()], pa.binary())})
+        total = sum(W.from_planes(x, RUN) for x in run.column("df").to_pylist())
+        return pa.table({"run": run.column("run").slice(0, 1), "df": pa.array([W.planes(total)], pa.binary())})
 
     kind = "run long, df binary"
-    df = np.zeros((len(number) // RUN + 1, RUN), np.int64)
-    for r in docs.select("text").mapInArrow(run, kind).groupBy("run").applyInArrow(add, kind).collect():  # 8 bytes a term
-        df[r["run"]] = np.frombuffer(r["df"], np.int64)
+    df = np.zeros((len(terms) // RUN + 1, RUN), np.int64)
+    for r in docs.select("text").mapInArrow(run, kind).groupBy("run").applyInArrow(add, kind).collect():  # 8 bytes a term at most
+        df[r["run"]] = W.from_planes(bytes(r["df"]), RUN)
     df = df.ravel()
-    return int(df[-1]), df[: len(number)].astype(float)
+    return int(df[-1]), df[: len(terms)].astype(float)
+
 
+def _votes(docs: DataFrame, index: Index, k: int) -> np.ndarray:
+    """The vote on each example by the others."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(index)
 
-def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, sample: int = SAMPLE) -> Index:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value.build()
+        vectors = index.vectors_of_examples()
+        for b in batches:
+            at, out = b.column("id").to_pylist(), []
+            for x, (e, s) in zip(at, index.searched([vectors[x] for x in at], k + 1), strict=True):
+                others = e != x
+                out.append(index.vote(e[others][:k], s[others][:k]))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.float64())], ["id", "vote"])
+
+    parts = max(1, min(spark.sparkContext.defaultParallelism, len(index.ids) // 256))
+    rows = spark.range(0, len(index.ids), 1, parts).mapInArrow(run, "id long, vote double").collect()  # a number an example
+    out = np.zeros(len(index.ids))
+    for r in rows:
+        out[r["id"]] = r["vote"]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, sample: int = SAMPLE, k: int = NEIGHBOURS) -> Index:
     """Learn from labelled rows whose crc32(doc_id as text) mod ``parts`` is not ``part``."""
     examples = _sample(docs, labels, sample, parts, part)
-    toxic, ids = np.array([t for _, t, _ in examples], float), np.array([i for i, _, _ in examples], np.int64)
-    number: dict[str, int] = {}
-    per, terms, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for _, _, text in examples:
-        found = Counter(text.split("\n") if text else [])
-        per.append(len(found))
-        terms.append(np.array([number.setdefault(t, len(number)) for t in found], np.int64))
-        counts.append(np.array(list(found.values()), np.int64))
-    term, count, example = np.concatenate(terms), np.concatenate(counts), np.repeat(np.arange(len(examples)), per)
-    n, df = _frequencies(docs, number)
-    n1 = int(toxic.sum())
-    both = np.bincount(term, minlength=len(number))
-    a = np.bincount(term, toxic[example], len(number))
-    g = np.maximum(_g(a, both - a, n1, len(examples) - n1), 0) / max(1, len(examples)) if examples else np.zeros(0)
-    idf = (np.log((1 + n) / (1 + df)) + 1) * np.sqrt(np.where(g > 1e-12, g, 0))
-    weight = (1 + np.log(count)) * idf[term]
-    norm = np.sqrt(np.bincount(example, weight * weight, len(examples)))
-    at = np.flatnonzero(weight > 0)
-    vectors = example[at], term[at], weight[at] / norm[example[at]]
-    return Index(list(number), idf, vectors, toxic, ids, n1 / len(examples) if examples else 0.0)
-
-
-def _scores(texts: pa.Array, index: Index, k: int) -> list[tuple[float, list[int]]]:
-    doc, term, n = _counted(texts, index.number)
-    ends = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
-    out = []
-    for i in range(0, len(texts), BLOCK):
-        own = ends[i : i + BLOCK + 1]
-        vectors = [index.vector(term[a:b], n[a:b]) for a, b in zip(own, own[1:], strict=False)]
-        out += [index.score(at, weight, base, k) for (at, weight), base in zip(vectors, index.by_common(vectors), strict=True)]
-    return out
+    toxic, ids = np.array([r[1] for r in examples], float), np.array([r[0] for r in examples], np.int64)
+    hashes = np.frombuffer(b"".join(r[2] for r in examples), np.uint64)
+    count = np.frombuffer(b"".join(r[3] for r in examples), "<i4")
+    example = np.repeat(np.arange(len(examples), dtype=np.int32), [len(r[2]) // 8 for r in examples])
+    del examples
+    terms, term = np.unique(hashes, return_inverse=True)
+    n1, both = int(toxic.sum()), np.bincount(term, minlength=len(terms))
+    a = np.bincount(term, toxic[example], len(terms))
+    g = np.maximum(_g(a, both - a, n1, len(ids) - n1), 0) / len(ids) if len(ids) else np.zeros(0)
+    telling = g > 1e-12  # other terms have no weight
+    kept = telling[term]
+    term, example, count = (np.cumsum(telling) - 1)[term[kept]], example[kept], count[kept]
+    terms, g = terms[telling], g[telling]
+    n, df = _frequencies(docs, terms)
+    order = np.lexsort((example, term))
+    index = Index(terms, (np.log((1 + n) / (1 + df)) + 1) * np.sqrt(g), example[order], count[order], np.bincount(term, minlength=len(terms)), toxic, ids)
+    if 0 < n1 < len(ids):
+        index.curve = fitted_curve(_votes(docs, index, k), toxic)
+    return index
 
 
 def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
@@ -291,9 +363,9 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index = sent.value.build()
         for b in tokens.pieces(batches):
-            found = _scores(b.column("text"), index, k)
+            found = index.judged(b.column("text"), k)
             cols = [b.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "evidence"])
 
@@ -301,23 +373,23 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
 
 
 def digest(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted."""
+    """Per document: doc_id, held_out, score, predicted, evidence."""
     out = score(docs, fit(docs, labels, parts, part))
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(parts)) == part
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """The rows of ``docs``, unchanged, whose score is under 0.5; learned from all labelled rows."""
-    index = fit(docs, labels, 1, -1)
+    index = fit(docs, labels, 1, -1, k=k)
     sent = docs.sparkSession.sparkContext.broadcast(index)
     at = docs.columns.index("text")
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index = sent.value.build()
         for b in tokens.pieces(batches, f"c{at}"):
-            found = _scores(b.column(at), index, k)
+            found = index.judged(b.column(at), k)
             yield b.filter(pa.array([s < 0.5 for s, _ in found], pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

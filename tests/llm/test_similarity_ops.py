@@ -201,33 +201,72 @@ def test_words_of_few_toxic_examples_are_not_left_out(spark):
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
     index = knn.fit(frame(spark, rows), marks)
     examples = {i for i, _ in labels if knn.fold_of(i, 5)}
-    assert set(index.ids.tolist()) == examples == set(index.ids[np.unique(index.vectors[0])].tolist())
-    assert set(index.terms) == {t for i, x in rows if i in examples for w in x.split() for t in knn.terms_of(w.encode())}
+    assert set(index.ids.tolist()) == examples == set(index.ids[np.unique(index.example)].tolist())
+    found = Counter(t for i, x in rows if i in examples for t in {t for w in x.split() for t in knn.terms_of(w.encode())})
+    assert set(index.terms.tolist()) <= set(found)
+    assert {t for w in bad for t in knn.terms_of(w.encode())} <= set(index.terms.tolist())
+    assert index.lengths.tolist() == [found[t] for t in index.terms.tolist()]
     truth = dict(labels)
     held = [(truth[r.doc_id], r.score) for r in knn.digest(frame(spark, rows), marks).collect() if r.held_out]
     assert min(s for t, s in held if t) >= 0.5 > max(s for t, s in held if not t)
 
 
-def test_search_equals_brute_force(labelled):
+@pytest.mark.parametrize("row_bytes", [knn.ROW_BYTES, 4 * 500 * 20])
+def test_search_equals_brute_force(labelled, monkeypatch, row_bytes):
     rows, labels = labelled
+    monkeypatch.setattr(knn, "BLOCK", 64)
+    monkeypatch.setattr(knn, "ROW_BYTES", row_bytes)
     counts = [Counter(t for w in x.split() for t in knn.terms_of(w.encode())) for _, x in rows]
-    names = [f"w{i}" for i in range(0, 800, 5)]
-    number = {t: i for i, t in enumerate(names)}
-    docs = [{number[t]: n for t, n in c.items() if t in number} for c in counts]
+    names = np.unique(np.array([t for c in counts[:500] for t in c], np.uint64))
+    number = {t: i for i, t in enumerate(names.tolist())}
     idf = np.linspace(1, 4, len(names))
-    vectors = np.zeros((len(docs), len(names)))
-    for row, d in zip(vectors, docs, strict=True):
-        for t, n in d.items():
-            row[t] = (1 + np.log(n)) * idf[t]
+    posts = sorted((number[t], e, n) for e, c in enumerate(counts[:500]) for t, n in c.items())
+    term, example, count = (np.array(x) for x in zip(*posts, strict=True))
+    index = knn.Index(names, idf, example, count, np.bincount(term, minlength=len(names)), np.zeros(500), np.arange(500)).build()
+    vectors = np.zeros((len(rows), len(names)))
+    for row, c in zip(vectors, counts, strict=True):
+        for t, n in c.items():
+            if t in number:
+                row[number[t]] = (1 + np.log(n)) * idf[number[t]]
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    index = knn.Index(names, idf, vectors[:500], np.zeros(500), np.arange(500), 0.0)
-    for k in range(500, 560):
-        if docs[k]:
-            e, s = index.nearest(docs[k], 15)
-            all_ = vectors[:500] @ vectors[k]
-            order = np.lexsort((np.arange(500), -np.round(all_, 12)))[:15]
-            assert e.tolist() == [i for i in order.tolist() if all_[i] > 1e-12]
-            assert s == pytest.approx(all_[e])
+    asked = [(np.flatnonzero(v), v[v > 0]) for v in vectors[500:560]]
+    for v, (e, s) in zip(vectors[500:560], index.searched(asked, 15), strict=True):
+        all_ = vectors[:500] @ v
+        best = np.sort(all_)[::-1][:15]
+        assert s == pytest.approx(all_[e], abs=1e-5) and s == pytest.approx(best[best > 1e-9], abs=2e-5)
+    own = index.vectors_of_examples()
+    assert all(np.allclose(v[at], w) for v, (at, w) in zip(vectors[:500], own, strict=True))
+
+
+def test_scores_follow_from_votes_by_hand(spark, labelled):
+    """Every document's score, from whole vectors, votes and the fitted curve."""
+    rows, labels = labelled
+    index = knn.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts, number = dict(rows), {t: i for i, t in enumerate(index.terms.tolist())}
+    df = Counter(t for x in texts.values() for t in {t for w in x.split() for t in knn.terms_of(w.encode())})
+    ids, truth = index.ids.tolist(), dict(labels)
+    has = lambda i: {t for w in texts[i].split() for t in knn.terms_of(w.encode())}
+    bad, good = [has(i) for i in ids if truth[i]], [has(i) for i in ids if not truth[i]]
+    for t in index.terms.tolist()[::37]:
+        a, b = sum(t in x for x in bad), sum(t in x for x in good)
+        table = [(a, len(bad), a + b), (b, len(good), a + b), (len(bad) - a, len(bad), len(ids) - a - b), (len(good) - b, len(good), len(ids) - a - b)]
+        g = sum(2 * o * np.log(o * len(ids) / (row * col)) for o, row, col in table if o) / len(ids)
+        assert index.idf[number[t]] == pytest.approx((np.log((1 + len(rows)) / (1 + df[t])) + 1) * np.sqrt(g), abs=1e-6)
+
+    def vector(i):
+        c = Counter(number[t] for w in texts[i].split() for t in knn.terms_of(w.encode()) if t in number)
+        v = np.zeros(len(number))
+        for t, n in c.items():
+            v[t] = (1 + np.log(n)) * index.idf[t]
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    whole = np.array([vector(i) for i in ids])
+    for r in knn.score(frame(spark, rows[:120]), index).collect():
+        s = whole @ vector(r.doc_id)
+        e = np.lexsort((np.arange(len(s)), -np.round(s / 1e-5)))[: knn.NEIGHBOURS]
+        vote = (s[e] @ index.toxic[e] + 0.5 * index.prior) / (s[e].sum() + 0.5)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(index.curve[0] * vote + index.curve[1]))), abs=0.02)
+        assert set(r.evidence) <= set(ids)
 
 
 def test_toxicity_without_labels(spark):
