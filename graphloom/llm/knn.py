@@ -37,10 +37,10 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,57 +51,55 @@ from graphloom.llm import words as W
 SAMPLE, NEIGHBOURS = 6000, 15
 _PRIOR_WEIGHT = 0.5
 _OUTER = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‘’…¿¡–—"
-BLOCK, AHEAD, RUN, TOGETHER = 1024, 1, 1024, 64
+BLOCK, RUN, TOGETHER = 2048, 1024, 256
 #: Size of the whole rows, in single precision, that the most frequent terms have.
 ROW_BYTES = 64 << 20
 #: Similarities that differ by less are ties; single precision leaves smaller errors.
 _TIE = 1e-5
-#: Entries of a worker's cache of words.
-CACHE_WORDS = 200_000
+
+
+def _vocabulary_terms(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of every term of the words: each word, and its first 4 and 5 letters if it has more."""
+    words = pc.utf8_trim(pc.utf8_lower(pa.array(vocabulary, pa.binary()).cast(pa.string())), _OUTER)
+    letters = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    of_word, hashes = [], []
+    for n in (None, 4, 5):
+        which = np.flatnonzero(letters > (n or 0))
+        found = words.take(pa.array(which)) if n is None else pc.utf8_slice_codeunits(words.take(pa.array(which)), 0, n).dictionary_encode()
+        if n is None:
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, found.to_pylist()), np.uint64, len(found))
+        else:
+            kinds = found.dictionary.to_pylist()
+            h = np.fromiter((xxhash.xxh3_64_intdigest(x + "*") for x in kinds), np.uint64, len(kinds))[found.indices.to_numpy(zero_copy_only=False)]
+        of_word.append(which)
+        hashes.append(h)
+    word, hash_ = np.concatenate(of_word), np.concatenate(hashes)
+    order = np.argsort(word, kind="stable")
+    return word[order], hash_[order]
 
 
 def terms_of(word: bytes) -> tuple[int, ...]:
     """Hashes of a word's terms."""
-    w = word.decode().lower().strip(_OUTER)
-    if not w:
-        return ()
-    return tuple(xxhash.xxh3_64_intdigest(t) for t in (w, *(w[:n] + "*" for n in (4, 5) if len(w) > n)))
+    return tuple(_vocabulary_terms([word])[1].tolist())
 
 
-def _counted(texts: pa.Array, of_word) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, occurrences), ordered; ``of_word`` gives the terms of a word."""
+def _counted(texts: pa.Array, terms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, occurrences), ordered by text: terms as hashes, or as their places in ``terms`` (ascending)."""
     words = W.split(texts, lower=True)
-    found = [of_word(w) for w in words.vocabulary]
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter(chain.from_iterable(found), np.uint64, int(lengths.sum()))
-    if not len(words.ids) or not len(flat):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    own, code = np.unique(flat, return_inverse=True)
+    word, code = _vocabulary_terms(words.vocabulary)
+    if terms is None:
+        names, code = np.unique(code, return_inverse=True)
+    else:
+        at = np.minimum(np.searchsorted(terms, code), max(0, len(terms) - 1))
+        same = terms[at] == code if len(terms) else np.zeros(len(code), bool)
+        word, code, names = word[same], at[same], np.arange(len(terms))
+    if not len(words.ids) or not len(code):
+        return np.zeros(0, np.int64), np.zeros(0, names.dtype), np.zeros(0, np.int64)
+    lengths = np.bincount(word, minlength=len(words.vocabulary))
     per = lengths[words.ids]
-    code = code[W.ranges((np.cumsum(lengths) - lengths)[words.ids], per)]
-    key, n = np.unique(np.repeat(words.owner(), per) * len(own) + code, return_counts=True)
-    return key // len(own), own[key % len(own)], n
-
-
-class Numbers(dict):
-    """Maps a word to the numbers of those of its terms that are among ``terms`` (ascending)."""
-
-    def __init__(self, terms: np.ndarray):
-        super().__init__()
-        self.terms = terms
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        hashes = np.array(terms_of(word), np.uint64)
-        at = np.minimum(np.searchsorted(self.terms, hashes), max(0, len(self.terms) - 1))
-        same = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
-        self[word] = found = tuple(at[same].tolist())
-        return found
-
-    def counted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        doc, term, n = _counted(texts, self.__getitem__)
-        return doc, term.astype(np.int64), n
+    flat = code[W.ranges((np.cumsum(lengths) - lengths)[words.ids], per)]
+    key, n = np.unique(np.repeat(words.owner(), per) * len(names) + flat, return_counts=True)
+    return key // len(names), names[key % len(names)], n
 
 
 @dataclass
@@ -131,6 +129,9 @@ class Index:
         self.toxic = toxic.astype(float)
 
     def build(self) -> Index:
+        """Ready for searches; a worker that is used again keeps what it built."""
+        if hasattr(self, "rows"):
+            return self
         example, term = self.example.astype(np.int32), np.repeat(np.arange(len(self.terms), dtype=np.int32), self.lengths)
         weight = (1 + np.log(self.count.astype(float))) * self.idf[term]
         weight /= np.sqrt(np.bincount(example, weight * weight, len(self.ids)))[example]
@@ -141,16 +142,20 @@ class Index:
         of_row = often[term]
         self.rows[self.common[term[of_row]], example[of_row]] = weight[of_row]
         example, term, weight = (x[~of_row] for x in (example, term, weight))
-        self.of_posting, self.weight = example, weight
+        # example and weight of a posting side by side, as one number that is fetched at once
+        both = np.empty((len(example), 2), np.float32)
+        both[:, 0], both[:, 1] = example, weight
+        self.postings = both.view(np.int64).ravel()
+        self.posts = np.where(often, 0, self.lengths).astype(np.int64)
+        self.post_start = np.cumsum(self.posts) - self.posts
         self.n_blocks = -(-len(self.ids) // BLOCK)
         # runs of postings of one term in one block
         run = term.astype(np.int64) * self.n_blocks + example // BLOCK
         first = np.flatnonzero(np.diff(run, prepend=-1))
         self.run_start, self.run_length = first.astype(np.int32), np.diff(first, append=len(run)).astype(np.int32)
-        self.run_block = example[first] // BLOCK
-        self.run_max = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        self.run_block = (example[first] // BLOCK).astype(np.int16)
+        self.run_max = np.nextafter(np.maximum.reduceat(weight, first).astype(np.float32), np.float32(2)) if len(first) else np.zeros(0, np.float32)
         self.runs_of = np.searchsorted(term[first], np.arange(len(self.terms) + 1)).astype(np.int32)
-        self.numbers = Numbers(self.terms)
         return self
 
     def vectors_of_examples(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -175,32 +180,35 @@ class Index:
 
     def search(self, at: np.ndarray, weight: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k nearest with a similarity over 0, best first."""
-        per = self.runs_of[at + 1] - self.runs_of[at]
+        weight_of, per = weight, self.runs_of[at + 1] - self.runs_of[at]
         run, weight = W.ranges(self.runs_of[at], per), np.repeat(weight, per)
         block = self.run_block[run]
         bound = np.bincount(block, weight * self.run_max[run], self.n_blocks)
         if len(base):
             bound = bound + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
         best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-bound, kind="stable")
-        for part in (order[:AHEAD], order[AHEAD:]):
-            part = part[bound[part] > 0]
+        ahead = 2 * bound >= bound.max(initial=0)
+        for wanted in (ahead, ~ahead):
+            wanted = wanted & (bound > 0)
             if len(best_s) == k:
-                part = part[bound[part] + _TIE >= best_s[-1]]
-            if not len(part):
-                break
-            wanted = np.zeros(self.n_blocks, bool)
-            wanted[part] = True
-            here = wanted[block]
-            length = self.run_length[run[here]]
-            post = W.ranges(self.run_start[run[here]], length)
-            s = np.bincount(self.of_posting[post], np.repeat(weight[here], length) * self.weight[post], len(self.ids)) + base
+                wanted &= bound + _TIE >= best_s[-1]
+            if not wanted.any():
+                continue
+            if wanted.all():
+                length, q = self.posts[at], weight_of
+                post = W.ranges(self.post_start[at], length)
+            else:
+                here = wanted[block]
+                length, q = self.run_length[run[here]], weight[here]
+                post = W.ranges(self.run_start[run[here]], length)
+            got = self.postings[post].view(np.float32)
+            s = np.bincount(got[::2].astype(np.int64), np.repeat(q, length) * got[1::2], len(self.ids)) + base
             e = np.flatnonzero((s > 0) & np.repeat(wanted, BLOCK)[: len(s)])
             if len(e) > k:
                 e = e[s[e] >= np.partition(s[e], -k)[-k] - _TIE]
             best_e, best_s = np.concatenate([best_e, e]), np.concatenate([best_s, s[e]])
-            order_ = np.lexsort((best_e, -np.round(best_s / _TIE)))[:k]
-            best_e, best_s = best_e[order_], best_s[order_]
+            order = np.lexsort((best_e, -np.round(best_s / _TIE)))[:k]
+            best_e, best_s = best_e[order], best_s[order]
         return best_e, best_s
 
     def vote(self, e: np.ndarray, s: np.ndarray) -> float:
@@ -219,7 +227,7 @@ class Index:
 
     def judged(self, texts: pa.Array, k: int) -> list[tuple[float, list[int]]]:
         """(score, doc_ids of the nearest examples) of each text."""
-        doc, term, n = self.numbers.counted(texts)
+        doc, term, n = _counted(texts, self.terms)
         ends = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
         vectors = [self.vector(term[a:b], n[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         return [(self.score(self.vote(e, s)), [int(x) for x in self.ids[e[:3]]]) for e, s in self.searched(vectors, k)]
@@ -274,7 +282,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int, parts: int, part: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tokens.pieces(batches):
-            doc, term, n = _counted(b.column("text"), terms_of)
+            doc, term, n = _counted(b.column("text"))
             limits = np.searchsorted(doc, np.arange(1, b.num_rows))
             cols = [pa.array([x.tobytes() for x in np.split(v, limits)], pa.binary()) for v in (term, n.astype("<i4"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *cols], ["doc_id", "toxic", "terms", "counts"])
@@ -290,11 +298,11 @@ def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, n = Numbers(sent.value), len(sent.value)
+        terms, n = sent.value, len(sent.value)
         df = np.zeros((n // RUN + 1) * RUN, np.int64)
         for b in tokens.pieces(batches):
             df[-1] += b.num_rows  # after the last term
-            df[:n] += np.bincount(numbers.counted(b.column("text"))[1], minlength=n)
+            df[:n] += np.bincount(_counted(b.column("text"), terms)[1], minlength=n)
         runs = df.reshape(-1, RUN)
         seen = np.flatnonzero(runs.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([W.planes(runs[i].astype(np.uint64)) for i in seen], pa.binary())], ["run", "df"])
@@ -364,7 +372,7 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value.build()
-        for b in tokens.pieces(batches):
+        for b in tokens.pieces(batches, most=4 << 20):
             found = index.judged(b.column("text"), k)
             cols = [b.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "evidence"])
@@ -388,7 +396,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value.build()
-        for b in tokens.pieces(batches, f"c{at}"):
+        for b in tokens.pieces(batches, f"c{at}", 4 << 20):
             found = index.judged(b.column(at), k)
             yield b.filter(pa.array([s < 0.5 for s, _ in found], pa.bool_()))
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import tokens
 from graphloom.llm import words as W
 from graphloom.llm.store import chunk_count, text_bytes
 
@@ -71,6 +72,8 @@ def _requests(chunked: DataFrame, min_words: int, n: int) -> DataFrame:
                 offset = c.least[lo:hi].astype(np.uint64) - np.uint64(base % (1 << 64))
                 rows.append((b, chunk, hi - lo, base, W.sorted_planes(c.unique[lo:hi]), W.planes(offset)))
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        del c
+        tokens.release()
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "chunk", "n", "base", "hashes", "docs"])
 
     return chunked.groupBy("chunk").applyInArrow(emit, _REQUEST)
@@ -133,7 +136,10 @@ def _parsed(rows: DataFrame, finish, schema: str, min_words: int) -> DataFrame:
 
     def final(table: pa.Table, answered: pa.Table) -> pa.Table:
         c = _Chunk(table, min_words)
-        return finish(c, _covered(c, answered, n, min_words))
+        out = finish(c, _covered(c, answered, n, min_words))
+        del c
+        tokens.release()
+        return out
 
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(final, schema)
 
