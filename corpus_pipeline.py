@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import curve, decon, knn, rlz, superminhash, tokens
-from graphloom.llm.store import shared_dir, table
+from graphloom.llm.store import discard, shared_dir, table
 
 PASSAGE_WORDS = 50
 
@@ -56,8 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{shared_dir(spark)}/graphloom-pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            discard(docs)
         docs = spark.read.parquet(path)
     return docs
