@@ -53,14 +53,14 @@ _PRIOR_WEIGHT = 0.5
 _OUTER = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‘’…¿¡–—"
 BLOCK, RUN, TOGETHER = 2048, 1024, 256
 #: Size of the whole rows, in single precision, that the most frequent terms have.
-ROW_BYTES = 64 << 20
+ROW_BYTES = 32 << 20
 #: Similarities that differ by less are ties; single precision leaves smaller errors.
 _TIE = 1e-5
 
 
-def _vocabulary_terms(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _vocabulary_terms(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(word, hash) of every term of the words: each word, and its first 4 and 5 letters if it has more."""
-    words = pc.utf8_trim(pc.utf8_lower(pa.array(vocabulary, pa.binary()).cast(pa.string())), _OUTER)
+    words = pc.utf8_trim(pc.utf8_lower(vocabulary), _OUTER)
     letters = pc.utf8_length(words).to_numpy(zero_copy_only=False)
     of_word, hashes = [], []
     for n in (None, 4, 5):
@@ -80,13 +80,13 @@ def _vocabulary_terms(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def terms_of(word: bytes) -> tuple[int, ...]:
     """Hashes of a word's terms."""
-    return tuple(_vocabulary_terms([word])[1].tolist())
+    return tuple(_vocabulary_terms(pa.array([word.decode()]))[1].tolist())
 
 
 def _counted(texts: pa.Array, terms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, occurrences), ordered by text: terms as hashes, or as their places in ``terms`` (ascending)."""
     words = W.split(texts, lower=True)
-    word, code = _vocabulary_terms(words.vocabulary)
+    word, code = _vocabulary_terms(words.names)
     if terms is None:
         names, code = np.unique(code, return_inverse=True)
     else:
@@ -95,7 +95,7 @@ def _counted(texts: pa.Array, terms: np.ndarray | None = None) -> tuple[np.ndarr
         word, code, names = word[same], at[same], np.arange(len(terms))
     if not len(words.ids) or not len(code):
         return np.zeros(0, np.int64), np.zeros(0, names.dtype), np.zeros(0, np.int64)
-    lengths = np.bincount(word, minlength=len(words.vocabulary))
+    lengths = np.bincount(word, minlength=len(words.names))
     per = lengths[words.ids]
     flat = code[W.ranges((np.cumsum(lengths) - lengths)[words.ids], per)]
     key, n = np.unique(np.repeat(words.owner(), per) * len(names) + flat, return_counts=True)
@@ -203,9 +203,10 @@ class Index:
                 post = W.ranges(self.run_start[run[here]], length)
             got = self.postings[post].view(np.float32)
             s = np.bincount(got[::2].astype(np.int64), np.repeat(q, length) * got[1::2], len(self.ids)) + base
-            e = np.flatnonzero((s > 0) & np.repeat(wanted, BLOCK)[: len(s)])
-            if len(e) > k:
-                e = e[s[e] >= np.partition(s[e], -k)[-k] - _TIE]
+            if not wanted.all():
+                s = np.where(np.repeat(wanted, BLOCK)[: len(s)], s, 0)
+            least = np.partition(s, -k)[-k] - _TIE if len(s) > k else 0
+            e = np.flatnonzero((s > 0) & (s >= least))
             best_e, best_s = np.concatenate([best_e, e]), np.concatenate([best_s, s[e]])
             order = np.lexsort((best_e, -np.round(best_s / _TIE)))[:k]
             best_e, best_s = best_e[order], best_s[order]
@@ -372,7 +373,7 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value.build()
-        for b in tokens.pieces(batches, most=4 << 20):
+        for b in tokens.pieces(batches):
             found = index.judged(b.column("text"), k)
             cols = [b.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "evidence"])
@@ -396,7 +397,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value.build()
-        for b in tokens.pieces(batches, f"c{at}", 4 << 20):
+        for b in tokens.pieces(batches, f"c{at}"):
             found = index.judged(b.column(at), k)
             yield b.filter(pa.array([s < 0.5 for s, _ in found], pa.bool_()))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,17 @@ class Words:
     """Words of consecutive texts: text k has words offsets[k] to offsets[k + 1]."""
 
     offsets: np.ndarray
-    ids: np.ndarray  # into vocabulary
-    vocabulary: list[bytes]
-    hashes: np.ndarray  # of the vocabulary
+    ids: np.ndarray  # into names, vocabulary and hashes
+    names: pa.Array  # the distinct words
+
+    @cached_property
+    def vocabulary(self) -> list[bytes]:
+        return self.names.cast(pa.large_binary()).to_pylist()
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """Of the vocabulary."""
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.vocabulary), np.uint64, len(self.names))
 
     @property
     def lengths(self) -> np.ndarray:
@@ -48,14 +57,13 @@ def split(texts, lower: bool = False) -> Words:
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    vocabulary = coded.dictionary.cast(pa.large_binary()).to_pylist()
     offsets = np.concatenate([[0], np.cumsum(counts)])
-    if b"" in vocabulary:  # from white space at the ends of a text
-        full = ids != vocabulary.index(b"")
+    blank = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    if blank >= 0:  # from white space at the ends of a text
+        full = ids != blank
         before = np.concatenate([[0], np.cumsum(full)])
         ids, offsets = ids[full], before[offsets]
-    digest = xxhash.xxh3_64_intdigest
-    return Words(offsets, ids, vocabulary, np.fromiter((digest(w) for w in vocabulary), np.uint64, len(vocabulary)))
+    return Words(offsets, ids, coded.dictionary)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
