@@ -137,7 +137,7 @@ def subgraph(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {TRADE}, x AS (
-SELECT b.src AS id, count(*)::DOUBLE / (4 + 4 - count(*)) AS j FROM e a JOIN e b ON a.dst = b.dst AND b.src <> 'n05' WHERE a.src = 'n05' GROUP BY b.src
+SELECT b.src AS id, count(*)::DOUBLE / ((SELECT count(*) FROM e q WHERE q.src = b.src) + (SELECT count(*) FROM e q WHERE q.src = 'n05') - count(*)) AS j FROM e a JOIN e b ON a.dst = b.dst AND b.src <> 'n05' WHERE a.src = 'n05' GROUP BY b.src
 UNION ALL SELECT b.dst, count(*)::DOUBLE / ((SELECT count(*) FROM e q WHERE q.dst = b.dst) + (SELECT count(*) FROM e q WHERE q.dst = 'n05') - count(*)) FROM e a JOIN e b ON a.src = b.src AND b.dst <> 'n05' WHERE a.dst = 'n05' GROUP BY b.dst)
 SELECT id, round(sum(j) / 2, 6) AS score FROM x GROUP BY id ORDER BY score DESC, id LIMIT 20""")
 def similar(spark: SparkSession, d: str) -> DataFrame:
@@ -196,19 +196,19 @@ def katz(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TROPHIC = ",\n".join(
-    [f"WITH {FK}, k AS MATERIALIZED (SELECT id FROM n WHERE kind <> 'order'), ke AS MATERIALIZED (SELECT * FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS x FROM k)"]
+    [f"WITH {FK}, k AS MATERIALIZED (SELECT id FROM n), ke AS MATERIALIZED (SELECT * FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS x FROM k)"]
     + [f"r{i} AS MATERIALIZED (SELECT k.id, 1 + coalesce(m.m, 0) AS x FROM k LEFT JOIN (SELECT ke.dst AS id, avg(p.x) AS m FROM ke JOIN r{i - 1} p ON p.id = ke.src GROUP BY 1) m ON m.id = k.id)" for i in range(1, 6)]
 )
 
 
 @query(_TROPHIC + " SELECT id, round(x, 6) AS score FROM r5")
 def trophic(spark: SparkSession, d: str) -> DataFrame:
-    return rank.trophic(fk_graph(spark, d).induced(["region", "nation", "customer", "supplier"])).select("id", F.round("score", 6).alias("score"))
+    return rank.trophic(fk_graph(spark, d)).select("id", F.round("score", 6).alias("score"))
 
 
 @query()
 def voterank(spark: SparkSession, d: str) -> DataFrame:
-    return rank.voterank(trade_graph(spark, d), 8)
+    return rank.voterank(trade_graph(spark, d))
 
 
 _SCALE = "(SELECT 1.0::DOUBLE / ((count(*) - 1) * (count(*) - 2)) FROM n)"

@@ -51,8 +51,8 @@ def trade_graph(spark: SparkSession, d: str, k: int = 4) -> Graph:
 
 
 def supply_graph(spark: SparkSession, d: str) -> Graph:
-    """Parts and suppliers linked by large order lines."""
-    e = read(spark, d, "lineitem").filter("l_quantity >= 49").select(_id("part", "l_partkey").alias("src"), _id("supplier", "l_suppkey").alias("dst")).distinct()
+    """Parts and suppliers linked by order lines."""
+    e = read(spark, d, "lineitem").select(_id("part", "l_partkey").alias("src"), _id("supplier", "l_suppkey").alias("dst")).distinct()
     ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     return Graph(ids.select("id", F.split_part("id", F.lit(":"), F.lit(1)).alias("kind"), F.lit(1).cast("long").alias("lines")), e)
 
@@ -64,8 +64,8 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def functions(spark: SparkSession, d: str) -> DataFrame:
-    """Large order lines as functions of their supplier."""
-    t = read(spark, d, "lineitem").filter("l_quantity >= 49")
+    """Order lines as functions of their supplier."""
+    t = read(spark, d, "lineitem")
     return t.select(
         _id("supplier", "l_suppkey").alias("file"),
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"),
@@ -77,8 +77,8 @@ def functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
-    """A large line calls the parts of the same order's other large lines."""
-    t = read(spark, d, "lineitem").filter("l_quantity >= 45").select("l_orderkey", "l_suppkey", "l_partkey")
+    """A line calls the parts of the same order's other lines."""
+    t = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     a = t.toDF("o", "s", "p")
     b = t.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("q"))
     return a.join(b, "o").filter("p <> q").select(_id("supplier", "s").alias("file"), F.concat(F.lit("p"), F.col("p").cast("string")).alias("name"), F.concat(F.lit("p"), F.col("q").cast("string")).alias("callee"))
@@ -124,7 +124,7 @@ a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION ALL SELECT * FROM f{i})"""
 ) + ",\nsp AS MATERIALIZED (SELECT * FROM a12)"
 
 SUPPLY = """
-e AS MATERIALIZED (SELECT DISTINCT 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst FROM lineitem WHERE l_quantity >= 49),
+e AS MATERIALIZED (SELECT DISTINCT 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst FROM lineitem),
 n AS MATERIALIZED (SELECT id, split_part(id, ':', 1) AS kind FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)),
 u AS MATERIALIZED (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e)"""
 
@@ -134,9 +134,9 @@ cm AS MATERIALIZED (SELECT l_orderkey AS "commit", o_orderdate AS ts, 'supplier:
 FUNCTIONS = """
 fn AS MATERIALIZED (SELECT 'supplier:' || l_suppkey AS file, 'p' || l_partkey AS name, CAST(l_linenumber * 10 AS BIGINT) AS start_line,
   CAST(l_linenumber * 10 + l_orderkey % 7 AS BIGINT) AS end_line, l_returnflag = 'R' AS is_exported, CAST(l_orderkey % 3 AS BIGINT) AS n_params
-  FROM lineitem WHERE l_quantity >= 49),
+  FROM lineitem),
 ca AS MATERIALIZED (SELECT 'supplier:' || a.l_suppkey AS file, 'p' || a.l_partkey AS name, 'p' || b.l_partkey AS callee
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_quantity >= 45 AND b.l_quantity >= 45)"""
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey)"""
 
 FILES = """
 fl AS (SELECT source || '/' || doc_id || '.' || lang AS path, text AS content FROM documents),
