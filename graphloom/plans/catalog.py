@@ -22,4 +22,5 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-from graphloom.plans import code_queries, graph_queries, text_queries  # noqa: E402, F401
+from graphloom.plans import code_queries, graph_queries, text_queries  # noqa: E402, F401, I001
+from graphloom.plans import more_queries  # noqa: E402, F401
