@@ -3,9 +3,13 @@
 Records hash into ``n_slots`` virtual slots; bytes are summed per slot; a versioned
 slot-to-shard map places slots on shards and is edited, not rebuilt, when the data or
 the number of shards changes. The map has ``n_slots`` rows whatever the data holds, so
-it is the one thing that is gathered on the driver and sent to every task.
+it is the one thing that is gathered on the driver; it is written as a table, and rows
+are placed by what is read back from there. :func:`rebalance` gives the next version.
 
-Edge cases: a null text has 0 bytes; a null ``doc_id`` hashes like a value; repeated
+A row's slot follows from its doc_id and its text's checksum, so rows that share a doc_id
+or have none are spread over slots as well; only equal rows share one.
+
+Edge cases: a null text has 0 bytes; a null ``doc_id`` is hashed by its text; repeated
 rows are placed one by one; an empty table gives an empty result and an even map;
 extra columns are ignored.
 """
@@ -16,10 +20,12 @@ import heapq
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.llm.store import materialize
+
 N_SLOTS = 4096
 ROW_OVERHEAD = 16
 
@@ -39,24 +45,24 @@ class SlotMap:
             out[shard] += size
         return out
 
-    def column(self, slot: Column) -> Column:
-        """The shard of a slot, as a lookup in a constant array of n_slots numbers."""
-        return F.element_at(F.from_json(F.lit(json.dumps(self.shards)), "array<int>"), slot.cast("int") + 1)
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """Rows (version, virtual_slot, shard, bytes), as they are stored."""
-        rows = F.lit(json.dumps([{"virtual_slot": i, "shard": s, "bytes": b} for i, (s, b) in enumerate(zip(self.shards, self.bytes, strict=True))]))
-        parsed = F.inline(F.from_json(rows, "array<struct<virtual_slot:bigint,shard:int,bytes:bigint>>"))
-        return spark.range(1).select(parsed).select(F.lit(self.version).alias("version"), "virtual_slot", "shard", "bytes")
+    def frame(self, spark: SparkSession, counts: list[int] | None = None) -> DataFrame:
+        """Rows (version, virtual_slot, shard, bytes, first), as they are stored; ``first`` counts the shard's rows in earlier slots."""
+        seen, rows = [0] * self.n_shards, []
+        for i, (shard, size) in enumerate(zip(self.shards, self.bytes, strict=True)):
+            rows.append({"virtual_slot": i, "shard": shard, "bytes": size, "first": seen[shard]})
+            seen[shard] += counts[i] if counts else 0
+        parsed = F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<virtual_slot:bigint,shard:int,bytes:bigint,first:bigint>>"))
+        return spark.range(1).select(parsed).select(F.lit(self.version).alias("version"), "virtual_slot", "shard", "bytes", "first")
 
 
 def sized(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """Rows (doc_id, size, text_crc32, virtual_slot)."""
+    text = F.crc32(F.coalesce("text", F.lit("")))
     return docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_OVERHEAD).alias("size"),
-        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_slots)).alias("virtual_slot"),
+        text.alias("text_crc32"),
+        F.pmod(F.xxhash64("doc_id", text), F.lit(n_slots)).alias("virtual_slot"),
     )
 
 
@@ -126,20 +132,18 @@ def assign(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> tuple[Data
     for r in found:
         sizes[r["virtual_slot"]], counts[r["virtual_slot"]] = r["bytes"], r["n"]
     slot_map = plan(sizes, n_shards)
-    first, seen = [0] * n_slots, [0] * n_shards
-    for i, shard in enumerate(slot_map.shards):
-        first[i] = seen[shard]
-        seen[shard] += counts[i]
-    base = F.element_at(F.from_json(F.lit(json.dumps(first)), "array<bigint>"), F.col("virtual_slot").cast("int") + 1)
+    stored = materialize(slot_map.frame(docs.sparkSession, counts), "slot-map")  # n_slots rows, so fit to be sent to every task
     order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    placed = rows.withColumn("rank", F.row_number().over(order)).select(
+    ranked = rows.withColumn("rank", F.row_number().over(order)).join(F.broadcast(stored), "virtual_slot")
+    placed = ranked.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        slot_map.column(F.col("virtual_slot")).alias("shard"),
-        (base + F.col("rank") - 1).alias("slot"),
+        "shard",
+        (F.col("first") + F.col("rank") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
+        F.col("version").alias("map_version"),
     )
     return placed, slot_map
