@@ -125,4 +125,25 @@ def test_audio_digest(spark):
     assert out[5][1:] == out[6][1:] and len({r.feature.split(";")[0] for r in out.values()}) == 3
     pcm = audio.pcm_column(audio.store(df)).collect()
     assert all(len(r.pcm) >= 4 * 64 for r in pcm)
+    stored = audio.store(df)
+    feature = {r.doc_id: r.feature for r in audio.digest(stored).collect()}
+    for r in audio.pcm_column(stored).collect():  # the feature's checksum is that of the stored samples
+        assert feature[r.doc_id].endswith(f"resampled={zlib.crc32(r.pcm)}")
+    hole = spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
+    assert audio.digest(hole).first().feature is None and audio.pcm_column(hole).first().pcm is None
     assert audio.digest(audio.store(df.limit(0))).count() == 0
+
+
+def test_rows_without_ids_spread_over_slots(spark):
+    rows = [(None if i % 3 else 7, f"text {i}") for i in range(3000)]
+    placed, slot_map = shards.assign(spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x")), 12, 512)
+    out = placed.collect()
+    assert len({r.virtual_slot for r in out}) > 450 and {r.map_version for r in out} == {1}
+    by = {}
+    for r in out:
+        assert r.shard == slot_map.shards[r.virtual_slot]
+        by.setdefault(r.shard, []).append(r)
+    for v in by.values():
+        assert sorted(r.slot for r in v) == list(range(len(v)))
+    loads = [sum(r["size"] for r in v) for v in by.values()]
+    assert max(loads) <= 1.05 * sum(loads) / 12
