@@ -16,8 +16,10 @@ bigrams with their training counts to buckets of the hash space, and each bucket
 with the total counts and lets one chunk own each n-gram. With these a chunk scores what
 it has, and sends, per context, the two sums over the bigrams it owns; buckets of contexts
 add them up and answer with the backoff weights. A frequent word or bigram arrives once a
-chunk. Both steps' results are tables in shared storage, partitioned by kind: counts by
-chunk and order, then weights by context. N-grams are known by 56-bit hashes.
+chunk. What a chunk has scored and the sums by context are a written table; counts and
+weights go to the chunks that asked and are not kept as a model of their own. With order
+two the backoff has one step. N-grams are known by 56-bit hashes: of n types any two
+collide with probability n^2 / 2^57.
 
 Edge cases: null or empty text is the end token alone; repeated rows count and are scored
 one by one; a null doc_id hashes like the empty text ('' has remainder 0: training); with

@@ -1,4 +1,7 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by the factors of a relative Lempel-Ziv parse.
+
+The parse is not run symbol by symbol: factors are read off membership of whole windows, as
+below, for the reference is far larger than a task and only hashes of its windows travel.
 
 The reference of a document is every document with a smaller doc_id, held as blocks
 (chunks of documents). Each block is indexed by the hashes of its ``min_words``-word
