@@ -5,6 +5,11 @@ of near copies stays (five-word shingles, similarity 0.8); passages of 50 words
 that an earlier document has are cut; documents that hold a benchmark item go; the rest
 is packed along a space-filling curve. All stages but the last return the columns of
 ``documents``.
+
+Edge cases: null or empty texts pass every stage unchanged (their ``n_chars`` too) and are
+packed as the end id alone; rows with a null doc_id take part like others; of repeated rows
+the second stage keeps one; empty tables give an empty result; extra columns are carried
+to the last stage.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = rlz.cleaned(docs, PASSAGE_WORDS)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
