@@ -24,3 +24,4 @@ def query(sql: str | None = None) -> Callable:
 
 from graphloom.plans import code_queries, graph_queries, text_queries  # noqa: E402, F401, I001
 from graphloom.plans import more_queries  # noqa: E402, F401
+from graphloom.plans import partition_queries  # noqa: E402, F401
