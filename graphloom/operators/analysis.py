@@ -135,9 +135,14 @@ def coupling_delta(a: Graph, b: Graph, k: int = 20) -> DataFrame:
 
 
 def context(files: DataFrame, budget: int) -> DataFrame:
-    """(id, chars, used): the prefix of ranked headers (id, rank, chars) that fits a budget of tokens."""
+    """(id, chars, used): the prefix of ranked headers (id, rank, chars) that fits a budget of tokens.
+
+    Each header takes a character at least, so no more than the budget's characters of
+    headers are summed up, whatever the number of files.
+    """
+    first = files.orderBy(F.col("rank").desc(), "id").limit(max(budget * 4, 0))
     w = Window.orderBy(F.col("rank").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("used", F.sum(F.col("chars") + 1).over(w)).filter(F.col("used") <= budget * 4).select("id", "chars", "used")
+    return first.withColumn("used", F.sum(F.col("chars") + 1).over(w)).filter(F.col("used") <= budget * 4).select("id", "chars", "used")
 
 
 def circular(g: Graph) -> DataFrame:

@@ -160,14 +160,23 @@ def library_name(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(base, r"^lib", ""), r"[\-_]?[0-9][0-9._\-]*$", "")
 
 
+def _grams(c: str) -> Column:
+    """The distinct runs of three characters of a text of three or more."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.col(c), i, F.lit(3))))
+
+
 def cve_match(dlls: DataFrame, cves: DataFrame) -> DataFrame:
-    """(dll, cve, severity): a library's name contains a product or the reverse.
+    """(dll, cve, severity): a library's name contains a product or the reverse, both of three characters or more.
 
-    Library names are few; the match is by substring, so the smaller side is broadcast.
+    What contains a text has its first three characters somewhere, so names and products
+    meet on those and only such pairs are compared.
     """
     p = cves.select(F.col("id").alias("cve"), "severity", F.explode("products").alias("product")).filter("length(product) >= 3")
     d = dlls.select(F.col("id").alias("dll"), library_name(F.col("id")).alias("name")).filter("length(name) >= 3")
-    return d.join(p, F.col("name").contains(F.col("product")) | F.col("product").contains(F.col("name"))).select("dll", "cve", "severity").distinct()
+    start = lambda c: F.substring(c, 1, 3).alias("gram")
+    holds = d.withColumn("gram", F.explode(_grams("name"))).join(p.select("*", start("product")), "gram").filter(F.col("name").contains(F.col("product")))
+    held = p.withColumn("gram", F.explode(_grams("product"))).join(d.select("*", start("name")), "gram").filter(F.col("product").contains(F.col("name")))
+    return holds.select("dll", "cve", "severity").union(held.select("dll", "cve", "severity")).distinct()
 
 
 def to_spdx(packages: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import analysis, centrality, composite, flows, partitions
+from graphloom.operators import analysis, centrality, composite, export, flows, partitions
 from graphloom.plans.catalog import SQL, query
 from graphloom.plans.more_queries import _health
 from graphloom.plans.tables import TRADE, calls, commits, fk_graph, functions, read, trade_graph
@@ -170,3 +170,17 @@ def docker_map(spark: SparkSession, d: str) -> DataFrame:
 def terraform_map(spark: SparkSession, d: str) -> DataFrame:
     head = 'variable "zone$r" {}\nresource "data_net" "r$r" {\n  zone = var.zone$r # not var.other\n}'
     return schemas.terraform_edges(schemas.terraform_map(_texts(spark, d, head, 'resource "app_node" "n$n" {\n  net = "${data_net.r$r.id}"\n}', ".tf")))
+
+
+@query(f"""WITH {TRADE} SELECT 'digraph g {{' AS line UNION ALL SELECT '  "' || id || '" [label="' || id || '", class="' || kind || '"];' FROM n
+UNION ALL SELECT '  "' || src || '" -> "' || dst || '";' FROM e UNION ALL SELECT '}}'""")
+def dot(spark: SparkSession, d: str) -> DataFrame:
+    return export.lines(trade_graph(spark, d), "dot")
+
+
+@query(f"""WITH {TRADE} SELECT '<?xml version="1.0" encoding="UTF-8"?>' AS line UNION ALL SELECT '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'
+UNION ALL SELECT '  <key id="kind" for="node" attr.name="kind" attr.type="string"/>' UNION ALL SELECT '  <graph edgedefault="directed">'
+UNION ALL SELECT '    <node id="' || id || '"><data key="kind">' || kind || '</data></node>' FROM n
+UNION ALL SELECT '    <edge source="' || src || '" target="' || dst || '"/>' FROM e UNION ALL SELECT '  </graph>' UNION ALL SELECT '</graphml>'""")
+def graphml(spark: SparkSession, d: str) -> DataFrame:
+    return export.lines(trade_graph(spark, d), "graphml")

@@ -13,7 +13,8 @@ NAMES = (
     "stats trace coupling dead_files hotspots size compare context coupling_delta git_coupling edge_churn node_lifespan clones api_diff "
     "dead_functions diff_functions structural_holes dispersion group_centrality common_neighbors jaccard adamic_adar meta_path triangles "
     "subgraph_iso similar secret_scan license_scan complexity callers rename web_endpoints web_dom web_sitemap string_classes transitions "
-    "bridges_of_cyclic dominator_tree exports dispatch_map summary validate"
+    "bridges_of_cyclic dominator_tree exports dispatch_map summary validate cliques changeset handoff action_pipeline think proto_schema "
+    "graphql_schema terraform_map dot graphml"
 ).split()
 
 
