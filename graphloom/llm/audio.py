@@ -1,15 +1,20 @@
 """Telephony audio columns: mu-law, A-law and IMA ADPCM.
 
 Companded samples are expanded by 256-entry lookup tables; ADPCM is decoded by numpy
-across blocks (one step handles the same nibble of every block); decoded PCM is
-resampled and, by :func:`pcm_column`, stored as 16-bit samples; :func:`digest` computes the
-same samples and keeps a checksum of them in ``feature``, as they take four times the
-room of the text. A medium is a RIFF/WAVE file in a binary
-column, with its codec, rate and channel count in the header.
+across the blocks of many documents (one step handles the same nibble of every block).
+A medium is a RIFF/WAVE file in a binary column, with its codec, rate and channel count
+in the header. :func:`store` writes it and, beside it, what it decodes to at twice the
+rate; :func:`digest` reads both back and takes its features from the stored samples.
+
+Stored samples are 16-bit and coded without loss by :func:`write_pcm`: those of even
+number as they are, those between as differences from what a half-band filter makes of
+the former. Any samples can be stored so; where all differences are 0, as in what that
+filter made, they take no room. :func:`pcm_column` gives the plain samples.
 
 Edge cases: empty payloads give empty PCM; null media give null results; ADPCM step
 indices outside the table are clamped, as decoders do; a trailing part of a block is
-dropped, which cannot happen in what :func:`wrap` writes.
+dropped, which cannot happen in what :func:`wrap` writes; tables of media without stored
+samples get them first.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from graphloom.llm import tokens
@@ -28,6 +34,8 @@ from graphloom.llm.store import materialize
 
 RATE = 8000
 BLOCK = 64
+#: How media and samples are compressed: they would take more room than the input otherwise.
+_TIGHT = {"parquet.compression.codec.zstd.level": "7", "parquet.page.size": str(4 << 20)}
 CODECS = ("mulaw", "alaw", "adpcm")
 _TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 0x11}
 _NAMES = {v: k for k, v in _TAGS.items()}
@@ -55,31 +63,38 @@ _INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int64)
 # Change of the predictor for each step index and nibble, and the next index.
 _NIBBLE = np.arange(16)
 _DELTA = STEPS[:, None] // 8 + np.where(_NIBBLE & 1, STEPS[:, None] // 4, 0) + np.where(_NIBBLE & 2, STEPS[:, None] // 2, 0) + np.where(_NIBBLE & 4, STEPS[:, None], 0)
-_DELTA = np.where(_NIBBLE & 8, -_DELTA, _DELTA)
-_NEXT = np.clip(np.arange(len(STEPS))[:, None] + _INDEX, 0, len(STEPS) - 1)
+_DELTA = np.where(_NIBBLE & 8, -_DELTA, _DELTA).astype(np.int32).ravel()
+_NEXT = np.clip(np.arange(len(STEPS))[:, None] + _INDEX, 0, len(STEPS) - 1).astype(np.int32).ravel()
 
 
 def decode_adpcm(data: bytes, block: int = BLOCK) -> np.ndarray:
     """PCM of mono IMA ADPCM blocks: 4 bytes of header, then two samples a byte."""
     n = len(data) // block
-    raw = np.frombuffer(data, np.uint8, n * block).reshape(n, block)
-    value = np.ascontiguousarray(raw[:, :2]).view("<i2").ravel().astype(np.int64)
-    index = np.minimum(raw[:, 2], len(STEPS) - 1).astype(np.int64)
-    out = np.empty((n, 1 + 2 * (block - 4)), np.int16)
-    out[:, 0] = value
+    raw = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * block).reshape(n, block).T)
+    value = (raw[0] | raw[1].astype(np.uint16) << 8).view(np.int16).astype(np.int32)
+    index = np.minimum(raw[2], len(STEPS) - 1).astype(np.int32)
+    out = np.empty((1 + 2 * (block - 4), n), np.int16)
+    out[0] = value
     for k in range(2 * (block - 4)):
-        byte = raw[:, 4 + k // 2]
-        nibble = byte >> 4 if k % 2 else byte & 15
-        value = np.clip(value + _DELTA[index, nibble], -32768, 32767)
-        index = _NEXT[index, nibble]
-        out[:, k + 1] = value
-    return out.ravel()
+        byte = raw[4 + k // 2]
+        at = index * 16 + (byte >> 4 if k % 2 else byte & 15)
+        value = np.clip(value + _DELTA[at], -32768, 32767)
+        index = _NEXT[at]
+        out[k + 1] = value
+    return out.T.ravel()
 
 
 def expand(codec: str, payload: bytes) -> np.ndarray:
-    if codec == "adpcm":
-        return decode_adpcm(payload)
-    return (MULAW if codec == "mulaw" else ALAW)[np.frombuffer(payload, np.uint8)]
+    return expand_all([(codec, payload)])[0]
+
+
+def expand_all(coded: list[tuple[str, bytes]]) -> list[np.ndarray]:
+    """PCM of each (codec, payload); the ADPCM blocks of all are decoded together."""
+    blocks = [p[: len(p) // BLOCK * BLOCK] if c == "adpcm" else b"" for c, p in coded]
+    decoded = decode_adpcm(b"".join(blocks))
+    ends = np.cumsum([0, *(len(x) // BLOCK * (1 + 2 * (BLOCK - 4)) for x in blocks)]).tolist()
+    tables = {"mulaw": MULAW, "alaw": ALAW}
+    return [decoded[i:j] if c == "adpcm" else tables[c][np.frombuffer(p, np.uint8)] for i, j, (c, p) in zip(ends, ends[1:], coded, strict=False)]
 
 
 def wrap(codec: str, payload: bytes, rate: int = RATE) -> bytes:
@@ -119,20 +134,83 @@ def _halfband(taps: int = 8) -> np.ndarray:
 
 
 _HALF = _halfband()
+#: Samples that are filtered at once, so that they stay in a core's cache.
+_AT_ONCE = 1 << 15
+_MAGIC, _PCM = b"PCM2", struct.Struct("<4sII?")
+
+
+def between(signals: list[np.ndarray]) -> list[np.ndarray]:
+    """A sample after each given one, by a windowed sinc of 16 neighbours; zeros lie outside.
+
+    Every sample is summed in the same order, so a signal's result does not depend on the others.
+    """
+    gap = np.zeros(8, np.int16)
+    line = np.concatenate([gap, *(x for s in signals for x in (s, gap))])
+    half = _HALF[:8].astype(np.float32)
+    out = np.empty(len(line), np.int16)
+    for i in range(0, len(line) - 15, _AT_ONCE):
+        part = line[i : i + _AT_ONCE + 15].astype(np.float32)
+        n = len(part) - 15
+        total = half[0] * (part[:n] + part[15:])
+        for k in range(1, 8):
+            total += half[k] * (part[k : k + n] + part[15 - k : 15 - k + n])
+        out[i : i + n] = np.clip(np.rint(total), -32768, 32767)
+    starts = np.cumsum([1, *(len(s) + 8 for s in signals)]).tolist()  # seven neighbours before, eight after
+    return [out[a : a + len(s)] for a, s in zip(starts, signals, strict=False)]
+
+
+def resample_all(signals: list[np.ndarray]) -> list[np.ndarray]:
+    """Twice the rate: given samples stay."""
+    out = []
+    for given, added in zip(signals, between(signals), strict=True):
+        twice = np.empty(2 * len(given), np.int16)
+        twice[::2], twice[1::2] = given, added
+        out.append(twice)
+    return out
 
 
 def resample_double(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: given samples stay, those between are a windowed sinc of 16 neighbours."""
-    if not len(pcm):
-        return np.zeros(0, np.int16)
-    x = pcm.astype(np.float32)
-    between = np.convolve(np.pad(x, (7, 8)), _HALF.astype(np.float32), "valid")
-    out = np.empty(2 * len(pcm), np.int16)
-    out[::2] = pcm
-    out[1::2] = np.clip(np.rint(between), -32768, 32767)
+    return resample_all([pcm])[0]
+
+
+def write_pcm(signals: list[tuple[int, np.ndarray]]) -> list[bytes]:
+    """A file of each (rate, 16-bit samples), without loss.
+
+    After the header lie the samples of even number and, unless all are 0, the differences of
+    the others from what :func:`between` makes of the former.
+    """
+    files = []
+    for (rate, x), guess in zip(signals, between([x[::2] for _, x in signals]), strict=True):
+        rest = x[1::2] - guess[: len(x) // 2]  # modulo 2^16
+        differ = bool(rest.any())
+        files.append(_PCM.pack(_MAGIC, rate, len(x), differ) + x[::2].astype("<i2").tobytes() + (rest.astype("<i2").tobytes() if differ else b""))
+    return files
+
+
+def read_pcm(files: list[bytes]) -> list[tuple[int, np.ndarray]]:
+    """(rate, samples) of what :func:`write_pcm` made."""
+    heads = [_PCM.unpack_from(f) for f in files]
+    if any(h[0] != _MAGIC for h in heads):
+        raise ValueError("not a file of samples")
+    even = [np.frombuffer(f, "<i2", n - n // 2, _PCM.size) for f, (_, _, n, _) in zip(files, heads, strict=True)]
+    out = []
+    for f, (_, rate, n, differ), given, guess in zip(files, heads, even, between(even), strict=True):
+        x = np.empty(n, np.int16)
+        x[::2], x[1::2] = given, guess[: n // 2]
+        if differ:
+            x[1::2] += np.frombuffer(f, "<i2", n // 2, _PCM.size + 2 * len(given))
+        out.append((rate, x))
     return out
 
 
+def _resampled(media: list[bytes | None]) -> list[bytes | None]:
+    """The file of samples of each medium."""
+    known = [unwrap(m) for m in media if m is not None]
+    twice = resample_all(expand_all([(codec, p) for codec, _, p in known]))
+    files = iter(write_pcm([(2 * rate, x) for (_, rate, _), x in zip(known, twice, strict=True)]))
+    return [None if m is None else next(files) for m in media]
+
+
 def feature(codec: str, rate: int, pcm: np.ndarray, twice: np.ndarray) -> str:
     x = pcm.astype(np.int64)
     rms = int(np.sqrt((x * x).mean())) if len(x) else 0
@@ -147,58 +225,74 @@ def payload_of(raw: bytes | None) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """Write every text's bytes as a telephony file: (doc_id, n_bytes, media), read back lazily.
+    """Write every text's bytes as a telephony file with its samples at twice the rate.
 
-    The codec follows from the payload, so equal texts give equal files.
+    Rows (doc_id, n_bytes, media, resampled), read back lazily. The codec follows from the
+    payload, so equal texts give equal files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tokens.pieces(batches):
-            raw = tokens.raw_texts(b)
-            media = []
-            for x in raw:
-                p = payload_of(x)
-                media.append(wrap(CODECS[zlib.crc32(p) % len(CODECS)], p))
-            n = pa.array([len(x or b"") for x in raw], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            payloads = [payload_of(x) for x in tokens.raw_texts(b)]
+            codec = np.array([zlib.crc32(p) % len(CODECS) for p in payloads])
+            order = np.argsort(codec, kind="stable")  # like lies beside like, which compresses better
+            media = [wrap(CODECS[codec[i]], payloads[i]) for i in order]
+            n = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
+            cols = [b.column("doc_id").take(pa.array(order)), n.take(pa.array(order)), pa.array(media, pa.binary()), pa.array(_resampled(media), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "media", "resampled"])
+
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary, resampled binary"), "audio", **_TIGHT)
+
+
+def _kinds(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary"), "audio")
+
+def with_resampled(media: DataFrame) -> DataFrame:
+    """``media`` with stored samples: as it is if it has them, else written with them."""
+    if "resampled" in media.columns:
+        return media
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tokens.pieces(batches, "media"):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_resampled(b.column("media").to_pylist()), pa.binary())], [*b.schema.names, "resampled"])
+
+    return materialize(media.mapInArrow(run, f"{_kinds(media)}, resampled binary"), "audio", **_TIGHT)
 
 
 def pcm_column(media: DataFrame) -> DataFrame:
-    """Adds ``pcm``: 16-bit little-endian samples at twice the stored rate; null media give null."""
+    """Adds ``pcm``: 16-bit little-endian samples at twice the stored rate, as stored; null media give null."""
+    media = with_resampled(media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tokens.pieces(batches, "media", 2 << 20):
-            out = []
-            for m in b.column("media").to_pylist():
-                if m is None:
-                    out.append(None)
-                else:
-                    codec, _, p = unwrap(m)
-                    out.append(resample_double(expand(codec, p)).astype("<i2").tobytes())
+        for b in tokens.pieces(batches, "resampled", 4 << 20):
+            files = b.column("resampled").to_pylist()
+            read = iter(read_pcm([f for f in files if f is not None]))
+            out = [None if f is None else next(read)[1].astype("<i2").tobytes() for f in files]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "pcm"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInArrow(run, f"{kinds}, pcm binary")
+    return media.mapInArrow(run, f"{_kinds(media)}, pcm binary")
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold, per document."""
+    """What the stored bytes hold, per document; the feature is that of the stored samples."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tokens.pieces(batches, "media", 4 << 20):
+        for b in tokens.pieces(batches, "resampled", 4 << 20):
+            files = b.column("resampled").to_pylist()
+            read = iter(read_pcm([f for f in files if f is not None]))
             rows = []
-            for m in b.column("media").to_pylist():
+            for m, f in zip(b.column("media").to_pylist(), files, strict=True):
                 if m is None:
                     rows.append((None,) * 6)
                     continue
-                codec, rate, p = unwrap(m)
-                pcm = expand(codec, p)
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, rate, pcm, resample_double(pcm))))
+                codec, _, p = unwrap(m)
+                rate, twice = next(read)
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, rate // 2, twice[::2], twice)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *cols], names)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    plain = with_resampled(media).select("doc_id", "n_bytes", "media", "resampled")
+    return plain.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

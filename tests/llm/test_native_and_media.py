@@ -147,3 +147,30 @@ def test_rows_without_ids_spread_over_slots(spark):
         assert sorted(r.slot for r in v) == list(range(len(v)))
     loads = [sum(r["size"] for r in v) for v in by.values()]
     assert max(loads) <= 1.05 * sum(loads) / 12
+
+
+def test_resampled_samples_are_stored_and_features_come_from_them(spark):
+    rng = np.random.default_rng(5)
+    noise = [rng.integers(-32768, 32768, n).astype(np.int16) for n in (0, 1, 2, 7, 64, 40001)]
+    signals = [(16000, x) for x in noise] + [(8000, audio.resample_double(noise[3]))]
+    files = audio.write_pcm(signals)
+    assert [(r, x.tolist()) for r, x in audio.read_pcm(files)] == [(r, x.tolist()) for r, x in signals]
+    assert [audio.write_pcm([s])[0] for s in signals] == files
+    with pytest.raises(ValueError):
+        audio.read_pcm([b"RIFF" + files[0][4:]])
+    texts = ["", None, "a" * 64, "日本" * 5000, "same", "same"] + [f"text {i} " * i for i in range(30)]
+    stored = audio.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = stored.collect()
+    assert len({r.media[20:22] for r in rows}) == 3
+    for r in rows:
+        codec, rate, payload = audio.unwrap(bytes(r.media))
+        x = np.array([s for i in range(0, len(payload), 64) for s in plain_adpcm(payload[i : i + 64])]) if codec == "adpcm" else audio.expand(codec, payload)
+        [(stored_rate, samples)] = audio.read_pcm([bytes(r.resampled)])
+        wide = np.convolve(np.pad(x.astype(float), (7, 8)), audio._HALF, "valid")
+        assert stored_rate == 2 * rate and samples[::2].tolist() == x.tolist()
+        assert np.abs(samples[1::2] - np.clip(wide, -32768, 32767)).max() < 0.51
+    [other] = audio.write_pcm([(16000, noise[5])])  # other stored samples, another feature
+    changed = stored.withColumn("resampled", F.when(F.col("doc_id") == 4, F.lit(bytearray(other))).otherwise(F.col("resampled")))
+    feature = {r.doc_id: r.feature for r in audio.digest(changed).collect()}
+    assert feature[4].endswith(f"resampled={zlib.crc32(noise[5].tobytes())}") and feature[5] != feature[4]
+    assert feature[5] == {r.doc_id: r.feature for r in audio.digest(stored.drop("resampled")).collect()}[5]
