@@ -52,6 +52,8 @@ SAMPLE, NEIGHBOURS = 6000, 15
 _PRIOR_WEIGHT = 0.5
 _OUTER = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‘’…¿¡–—"
 BLOCK, RUN, TOGETHER = 2048, 1024, 256
+#: Words whose terms are sorted at once: about 1.5 MB of text.
+WORDS = 1 << 18
 #: Size of the whole rows, in single precision, that the most frequent terms have.
 ROW_BYTES = 32 << 20
 #: Similarities that differ by less are ties; single precision leaves smaller errors.
@@ -83,8 +85,11 @@ def terms_of(word: bytes) -> tuple[int, ...]:
     return tuple(_vocabulary_terms(pa.array([word.decode()]))[1].tolist())
 
 
-def _counted(texts: pa.Array, terms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, occurrences), ordered by text: terms as hashes, or as their places in ``terms`` (ascending)."""
+def _counted_parts(texts: pa.Array, terms: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For ranges of texts of about ``WORDS`` words: first and last + 1, and (text, term, occurrences) as :func:`_counted` gives them.
+
+    The words of all texts are hashed in one go, but no more than a range's terms are sorted at once.
+    """
     words = W.split(texts, lower=True)
     word, code = _vocabulary_terms(words.names)
     if terms is None:
@@ -93,13 +98,29 @@ def _counted(texts: pa.Array, terms: np.ndarray | None = None) -> tuple[np.ndarr
         at = np.minimum(np.searchsorted(terms, code), max(0, len(terms) - 1))
         same = terms[at] == code if len(terms) else np.zeros(len(code), bool)
         word, code, names = word[same], at[same], np.arange(len(terms))
-    if not len(words.ids) or not len(code):
-        return np.zeros(0, np.int64), np.zeros(0, names.dtype), np.zeros(0, np.int64)
     lengths = np.bincount(word, minlength=len(words.names))
-    per = lengths[words.ids]
-    flat = code[W.ranges((np.cumsum(lengths) - lengths)[words.ids], per)]
-    key, n = np.unique(np.repeat(words.owner(), per) * len(names) + flat, return_counts=True)
-    return key // len(names), names[key % len(names)], n
+    starts = np.cumsum(lengths) - lengths
+    limits = [0, *(np.flatnonzero(np.diff(words.offsets[1:] // WORDS)) + 1).tolist(), len(texts)]
+    for first, last in zip(limits, limits[1:], strict=False):
+        ids = words.ids[words.offsets[first] : words.offsets[last]]
+        if not len(ids) or not len(code):
+            yield first, last, np.zeros(0, np.int64), np.zeros(0, names.dtype), np.zeros(0, np.int64)
+            continue
+        per = lengths[ids]
+        owner = np.repeat(np.arange(first, last), words.lengths[first:last])
+        key, n = np.unique(np.repeat(owner, per) * len(names) + code[W.ranges(starts[ids], per)], return_counts=True)
+        yield first, last, key // len(names), names[key % len(names)], n
+
+
+def _counted(texts: pa.Array, terms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, occurrences), ordered by text: terms as hashes, or as their places in ``terms`` (ascending)."""
+    return tuple(np.concatenate(x) for x in list(zip(*_counted_parts(texts, terms), strict=True))[2:])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """As :func:`tokens.pieces`, in a worker that gives up what earlier tasks kept for encoding."""
+    tokens.forget()
+    yield from tokens.pieces(batches, column)
 
 
 @dataclass
@@ -133,7 +154,10 @@ class Index:
         if hasattr(self, "rows"):
             return self
         example, term = self.example.astype(np.int32), np.repeat(np.arange(len(self.terms), dtype=np.int32), self.lengths)
-        weight = (1 + np.log(self.count.astype(float))) * self.idf[term]
+        weight = self.count.astype(float)  # changed in place: there are millions
+        np.log(weight, out=weight)
+        weight += 1
+        weight *= self.idf[term]
         weight /= np.sqrt(np.bincount(example, weight * weight, len(self.ids)))[example]
         often = np.zeros(len(self.terms), bool)
         often[np.argsort(-self.lengths.astype(np.int64), kind="stable")[: ROW_BYTES // (4 * max(1, len(self.ids)))]] = True
@@ -141,7 +165,7 @@ class Index:
         self.rows = np.zeros((int(often.sum()), len(self.ids)), np.float32)
         of_row = often[term]
         self.rows[self.common[term[of_row]], example[of_row]] = weight[of_row]
-        example, term, weight = (x[~of_row] for x in (example, term, weight))
+        example, term, weight = example[~of_row], term[~of_row], weight[~of_row].astype(np.float32)
         # example and weight of a posting side by side, as one number that is fetched at once
         both = np.empty((len(example), 2), np.float32)
         both[:, 0], both[:, 1] = example, weight
@@ -154,16 +178,21 @@ class Index:
         first = np.flatnonzero(np.diff(run, prepend=-1))
         self.run_start, self.run_length = first.astype(np.int32), np.diff(first, append=len(run)).astype(np.int32)
         self.run_block = (example[first] // BLOCK).astype(np.int16)
-        self.run_max = np.nextafter(np.maximum.reduceat(weight, first).astype(np.float32), np.float32(2)) if len(first) else np.zeros(0, np.float32)
+        self.run_max = np.nextafter(np.maximum.reduceat(weight, first), np.float32(2)) if len(first) else np.zeros(0, np.float32)
         self.runs_of = np.searchsorted(term[first], np.arange(len(self.terms) + 1)).astype(np.int32)
+        del example, term, weight, both, run, first, of_row
+        tokens.release()
         return self
 
-    def vectors_of_examples(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(terms, weights) of each example, its terms ascending."""
-        term = np.repeat(np.arange(len(self.terms)), self.lengths)
-        order = np.argsort(self.example, kind="stable")
-        limits = np.searchsorted(self.example[order], np.arange(1, len(self.ids)))
-        return [self.vector(t, n) for t, n in zip(np.split(term[order], limits), np.split(self.count[order], limits), strict=True)]
+    def vectors_of_examples(self, first: int = 0, last: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each example from ``first`` to ``last`` - 1, its terms ascending."""
+        last = len(self.ids) if last is None else last
+        here = np.flatnonzero((self.example >= first) & (self.example < last))
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.lengths)[here]
+        example, count = self.example[here], self.count[here]
+        order = np.argsort(example, kind="stable")
+        limits = np.searchsorted(example[order], np.arange(first + 1, last))
+        return [self.vector(t, n) for t, n in zip(np.split(term[order], limits), np.split(count[order], limits), strict=True)]
 
     def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of unit length; none if nothing has a weight."""
@@ -228,10 +257,12 @@ class Index:
 
     def judged(self, texts: pa.Array, k: int) -> list[tuple[float, list[int]]]:
         """(score, doc_ids of the nearest examples) of each text."""
-        doc, term, n = _counted(texts, self.terms)
-        ends = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
-        vectors = [self.vector(term[a:b], n[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        return [(self.score(self.vote(e, s)), [int(x) for x in self.ids[e[:3]]]) for e, s in self.searched(vectors, k)]
+        out = []
+        for first, last, doc, term, n in _counted_parts(texts, self.terms):
+            ends = np.searchsorted(doc, np.arange(first, last + 1)).tolist()
+            vectors = [self.vector(term[a:b], n[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            out += [(self.score(self.vote(e, s)), [int(x) for x in self.ids[e[:3]]]) for e, s in self.searched(vectors, k)]
+        return out
 
 
 def fitted_curve(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -282,7 +313,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int, parts: int, part: i
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tokens.pieces(batches):
+        for b in _pieces(batches):
             doc, term, n = _counted(b.column("text"))
             limits = np.searchsorted(doc, np.arange(1, b.num_rows))
             cols = [pa.array([x.tobytes() for x in np.split(v, limits)], pa.binary()) for v in (term, n.astype("<i4"))]
@@ -301,9 +332,10 @@ def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, n = sent.value, len(sent.value)
         df = np.zeros((n // RUN + 1) * RUN, np.int64)
-        for b in tokens.pieces(batches):
+        for b in _pieces(batches):
             df[-1] += b.num_rows  # after the last term
-            df[:n] += np.bincount(_counted(b.column("text"), terms)[1], minlength=n)
+            for _, _, _, term, _ in _counted_parts(b.column("text"), terms):
+                df[:n] += np.bincount(term, minlength=n)
         runs = df.reshape(-1, RUN)
         seen = np.flatnonzero(runs.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([W.planes(runs[i].astype(np.uint64)) for i in seen], pa.binary())], ["run", "df"])
@@ -326,11 +358,13 @@ def _votes(docs: DataFrame, index: Index, k: int) -> np.ndarray:
     sent = spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         index = sent.value.build()
-        vectors = index.vectors_of_examples()
         for b in batches:
             at, out = b.column("id").to_pylist(), []
-            for x, (e, s) in zip(at, index.searched([vectors[x] for x in at], k + 1), strict=True):
+            lowest = min(at, default=0)
+            vectors = index.vectors_of_examples(lowest, max(at, default=-1) + 1)
+            for x, (e, s) in zip(at, index.searched([vectors[x - lowest] for x in at], k + 1), strict=True):
                 others = e != x
                 out.append(index.vote(e[others][:k], s[others][:k]))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.float64())], ["id", "vote"])
@@ -373,7 +407,7 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value.build()
-        for b in tokens.pieces(batches):
+        for b in _pieces(batches):
             found = index.judged(b.column("text"), k)
             cols = [b.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "evidence"])
@@ -397,7 +431,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value.build()
-        for b in tokens.pieces(batches, f"c{at}"):
+        for b in _pieces(batches, f"c{at}"):
             found = index.judged(b.column(at), k)
             yield b.filter(pa.array([s < 0.5 for s, _ in found], pa.bool_()))
 

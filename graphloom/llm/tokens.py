@@ -121,6 +121,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drop encoders and their caches: for tasks that need none, in workers that packed before."""
+    if _encoders:
+        _encoders.clear()
+        release()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that none holds many more than ``most`` bytes of a column; memory goes back at the end."""
     for batch in batches:

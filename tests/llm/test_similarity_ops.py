@@ -344,3 +344,32 @@ def test_copies_with_an_edit_in_four_words_equal_brute_force(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.score for r in decon.matches(frame(spark, rows), bench).collect()}
     assert len(want) > 150 and got == pytest.approx(want)
+
+
+def test_counting_takes_little_memory_and_encoders_go():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from graphloom.llm import tokens
+
+    rng = np.random.default_rng(11)
+    names = np.array(["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(5000)])
+    texts = [" ".join(names[rng.integers(0, 5000, 300)]) for _ in range(3400)] + ["", None, "x"]  # 8 MB, a piece
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    terms = np.unique(knn._counted(batch.column(0).slice(0, 200))[1])
+    expect = knn._counted(batch.column(0), terms)
+    index = knn.Index(terms, np.ones(len(terms)), np.zeros(len(terms), int), np.ones(len(terms), int), np.ones(len(terms), int), np.zeros(1), np.zeros(1, int)).build()
+    tokens._encoders["kept by a packing task"] = None
+    [piece] = knn._pieces(iter([batch.slice(0, 3000)]))
+    assert not tokens._encoders
+    tracemalloc.start()
+    got = index.judged(piece.column(0), 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 3000 and peak < 100 << 20
+    parts = list(knn._counted_parts(batch.column(0), terms))
+    assert len(parts) > 2 and [p[:2] for p in parts] == list(zip([0] + [p[1] for p in parts[:-1]], [p[1] for p in parts], strict=True)) and parts[-1][1] == len(texts)
+    for k in (0, 1500, 3399):
+        want = Counter(t for w in texts[k].split() for t in knn.terms_of(w.encode()) if t in set(terms.tolist()))
+        assert dict(zip(terms[expect[1][expect[0] == k]].tolist(), expect[2][expect[0] == k].tolist(), strict=True)) == want
