@@ -45,8 +45,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokens.vocabulary_path()
-    return curve.with_crc(curve.pack(docs, path), path)
+    return curve.pack_with_crc(docs, tokens.vocabulary_path())
 
 
 STAGES = [

@@ -90,6 +90,44 @@ def keyed(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "curve_key long, doc_id long, ids binary")
 
 
+def _ranged(docs: DataFrame, path: str) -> DataFrame:
+    """Rows (curve_key, doc_id, ids, range) in the order of packing."""
+    n = chunk_count(text_bytes(docs))
+    rows = materialize(keyed(docs, path), "curve")
+    ranged = rows.repartitionByRange(n, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "ids")
+    return ranged.withColumn("range", F.spark_partition_id())
+
+
+def _laid(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of the documents of one range."""
+    enc = tokens.encoder(path)
+    width = enc.dtype.itemsize
+    used = 0  # ids laid down in this range so far
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve_key"]
+    for b in tokens.pieces(batches, "ids"):
+        out: list[list] = [[] for _ in names]
+        for key, doc, ids, part in zip(*(b.column(c).to_pylist() for c in ("curve_key", "doc_id", "ids", "range")), strict=True):
+            total, start = len(ids) // width, 0
+            while start < total:
+                sequence, offset = divmod(used, length)
+                take = min(length - offset, total - start)
+                row = (doc, start, take, ids[start * width : (start + take) * width], total, (part << 32) + sequence, offset, key)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+                start += take
+                used += take
+        kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+
+
+def _crcs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    dtype = tokens.encoder(path).dtype
+    for b in batches:
+        crc = [zlib.crc32(np.frombuffer(x, dtype).astype("<u4").tobytes()) for x in b.column("ids").to_pylist()]
+        names = [c for c in b.schema.names if c != "ids"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(crc, pa.int64())], [*names, "ids_crc32"])
+
+
 def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """Rows of pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset, curve_key).
 
@@ -97,43 +135,30 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     each range then streams through one task that holds a single document at a time.
     Sequence ids are the range's number times 2^32 plus a count.
     """
-    n = chunk_count(text_bytes(docs))
-    rows = materialize(keyed(docs, path), "curve")
-    ranged = rows.repartitionByRange(n, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "ids")
-    ranged = ranged.withColumn("range", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path)
-        width = enc.dtype.itemsize
-        used = 0  # ids laid down in this range so far
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve_key"]
-        for b in tokens.pieces(batches, "ids"):
-            out: list[list] = [[] for _ in names]
-            for key, doc, ids, part in zip(*(b.column(c).to_pylist() for c in ("curve_key", "doc_id", "ids", "range")), strict=True):
-                total, start = len(ids) // width, 0
-                while start < total:
-                    sequence, offset = divmod(used, length)
-                    take = min(length - offset, total - start)
-                    row = (doc, start, take, ids[start * width : (start + take) * width], total, (part << 32) + sequence, offset, key)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                    start += take
-                    used += take
-            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
-
-    return ranged.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, curve_key long")
+        return _laid(batches, path, length)
+
+    return _ranged(docs, path).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, curve_key long")
 
 
 def with_crc(pieces: DataFrame, path: str) -> DataFrame:
     """Replaces the ids by ids_crc32, over them as little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = tokens.encoder(path).dtype
-        for b in batches:
-            crc = [zlib.crc32(np.frombuffer(x, dtype).astype("<u4").tobytes()) for x in b.column("ids").to_pylist()]
-            names = [c for c in b.schema.names if c != "ids"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(crc, pa.int64())], [*names, "ids_crc32"])
+        return _crcs(batches, path)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "ids")
     return pieces.mapInArrow(run, f"{kinds}, ids_crc32 long")
+
+
+def pack_with_crc(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
+    """As :func:`with_crc` of :func:`pack`, in one Python worker a task.
+
+    Two steps in a row would hold two, and an executor keeps all its workers for the stages after it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _crcs(_laid(batches, path, length), path)
+
+    return _ranged(docs, path).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, curve_key long, ids_crc32 long")

@@ -41,26 +41,58 @@ from graphloom.llm.store import chunk_count, text_bytes
 
 MIN_WORDS = 13
 CHUNK_BYTES = 8 << 20
+#: Text whose words are held at once.
+PART_BYTES = 1 << 20
 _LAST = np.iinfo(np.int64).max
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _REQUEST = "bucket int, chunk int, n long, base long, hashes binary, docs binary"
 
 
 class _Chunk:
-    """The windows of one chunk, its documents in ascending order of doc_id."""
+    """The windows of one chunk, its documents in ascending order of doc_id.
+
+    Texts are hashed in parts of ``PART_BYTES``: of the words only their number stays.
+    """
 
     def __init__(self, table: pa.Table, min_words: int):
         ids = table.column("doc_id").fill_null(_LAST).to_numpy()
-        self.order = np.argsort(ids, kind="stable")
-        self.table = table.take(pa.array(self.order))
-        self.doc_ids = ids[self.order].astype(np.int64)
-        self.words = W.split(self.table.column("text"))
-        grams = W.ngrams(self.words.token_hashes(), min_words)
-        self.starts = np.flatnonzero(W.inside(self.words, min_words))
-        self.unique, first, self.inverse = np.unique(grams[self.starts], return_index=True, return_inverse=True)
-        owner = self.words.owner()[self.starts]
-        self.owner_id = self.doc_ids[owner] if len(owner) else np.zeros(0, np.int64)
-        self.least = self.owner_id[first] if len(first) else np.zeros(0, np.int64)
+        order = np.argsort(ids, kind="stable")
+        self.table = table.take(pa.array(order))
+        self.doc_ids, rank = np.unique(ids[order].astype(np.int64), return_inverse=True)
+        texts = self.table.column("text").combine_chunks()
+        lengths, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for a, b in W.parts(texts, PART_BYTES):
+            words = W.split(texts.slice(a, b - a))
+            grams.append(W.ngrams(words.token_hashes(), min_words)[W.inside(words, min_words)])
+            lengths.append(words.lengths)
+        self.min_words, self.lengths = min_words, np.concatenate(lengths)
+        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.windows = np.maximum(self.lengths - min_words + 1, 0)
+        self.rank = np.repeat(rank.astype(np.int32), self.windows)  # of each window's doc_id
+        hashes = np.concatenate(grams)
+        del grams
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        hashes = hashes[self.order]
+        self.new = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
+        self.unique = hashes[self.new]
+        self.first = self.rank[self.order[self.new]]  # the smallest rank with each
+
+    def least(self, lo: int, hi: int) -> np.ndarray:
+        """The smallest doc_id that has each of the unique windows from ``lo`` to ``hi`` - 1."""
+        return self.doc_ids[self.first[lo:hi]]
+
+    def covered(self, known: np.ndarray) -> np.ndarray:
+        """Which words lie in a window that a smaller doc_id has: here, or elsewhere (``known``, of the unique windows)."""
+        group = np.cumsum(self.new, dtype=np.int32) - 1
+        earlier = np.zeros(len(self.order), bool)
+        earlier[self.order] = known[group] | (self.first[group] < self.rank[self.order])
+        at, ends = np.flatnonzero(earlier), np.cumsum(self.windows)
+        of = np.searchsorted(ends, at, side="right")
+        at += (self.offsets[:-1] - ends + self.windows)[of]
+        edge = np.zeros(int(self.offsets[-1]) + 1, np.int8)
+        edge[at] += 1
+        edge[at + self.min_words] -= 1
+        return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _requests(chunked: DataFrame, min_words: int, n: int) -> DataFrame:
@@ -71,8 +103,9 @@ def _requests(chunked: DataFrame, min_words: int, n: int) -> DataFrame:
         for b in range(n):
             lo, hi = int(limits[b]), int(limits[b + 1])
             if hi > lo:
-                base = int(c.least[lo:hi].min())
-                offset = c.least[lo:hi].astype(np.uint64) - np.uint64(base % (1 << 64))
+                least = c.least(lo, hi)
+                base = int(least.min())
+                offset = least.astype(np.uint64) - np.uint64(base % (1 << 64))
                 rows.append((b, chunk, hi - lo, base, W.sorted_planes(c.unique[lo:hi]), W.planes(offset)))
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         del c
@@ -84,17 +117,24 @@ def _requests(chunked: DataFrame, min_words: int, n: int) -> DataFrame:
 
 def _answers(requests: DataFrame, n: int) -> DataFrame:
     def reduce(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        hashes = np.concatenate([W.from_sorted_planes(r["hashes"], r["n"]) for r in rows])
-        docs = np.concatenate([(W.from_planes(r["docs"], r["n"]) + np.uint64(r["base"] % (1 << 64))).astype(np.int64) for r in rows])
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        least = np.minimum.reduceat(docs[order], starts)
+        sizes = table.column("n").to_numpy()
+        ends = np.cumsum(sizes)
+        hashes, docs = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.int64)
+        for k, (m, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
+            base = np.uint64(table.column("base")[k].as_py() % (1 << 64))
+            hashes[end - m : end] = W.from_sorted_planes(table.column("hashes")[k].as_buffer(), m)
+            docs[end - m : end] = (W.from_planes(table.column("docs")[k].as_buffer(), m) + base).view(np.int64)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        del hashes
+        ordered = docs[order]
+        least = np.minimum.reduceat(ordered, starts)
         smaller = np.empty(len(docs), bool)
-        smaller[order] = np.repeat(least, np.diff(np.append(starts, len(order)))) < docs[order]
-        ends = np.cumsum([r["n"] for r in rows])
+        smaller[order] = np.repeat(least, np.diff(starts, append=len(order))) < ordered
         bits = [np.packbits(x).tobytes() for x in np.split(smaller, ends[:-1])]
+        del docs, order, starts, ordered, least, smaller
+        tokens.release()
         return pa.table([table.column("chunk").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(bits, pa.binary())], names=["chunk", "bucket", "bits"])
 
     return requests.repartition(n, "bucket").groupBy("bucket").applyInArrow(reduce, "chunk int, bucket int, bits binary")
@@ -106,18 +146,14 @@ def factors(flagged: np.ndarray, min_words: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + min_words - 1) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-def _covered(c: _Chunk, answers: pa.Table, n: int, min_words: int) -> np.ndarray:
+def _covered(c: _Chunk, answers: pa.Table, n: int) -> np.ndarray:
     """Which words of the chunk lie in a factor."""
     known = np.zeros(len(c.unique), bool)
     limits = W.bucket_limits(c.unique, n)
     for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
         lo, hi = int(limits[b]), int(limits[b + 1])
         known[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo)
-    at = c.starts[known[c.inverse] | (c.least[c.inverse] < c.owner_id)]
-    edge = np.zeros(len(c.words.ids) + 1, np.int64)
-    edge[at] += 1
-    np.subtract.at(edge, at + min_words, 1)
-    return np.cumsum(edge[:-1]) > 0
+    return c.covered(known)
 
 
 def cut(raw: bytes, gone: np.ndarray) -> bytes:
@@ -139,7 +175,7 @@ def _parsed(rows: DataFrame, finish, schema: str, min_words: int) -> DataFrame:
 
     def final(table: pa.Table, answered: pa.Table) -> pa.Table:
         c = _Chunk(table, min_words)
-        out = finish(c, _covered(c, answered, n, min_words))
+        out = finish(c, _covered(c, answered, n))
         del c
         tokens.release()
         return out
@@ -151,15 +187,17 @@ def digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, n_factors."""
 
     def finish(c: _Chunk, covered: np.ndarray) -> pa.Table:
-        vocabulary, removed, shas, n_factors = c.words.vocabulary, [], [], []
+        removed, shas, n_factors = [], [], []
         edge = np.diff(covered.astype(np.int8), prepend=np.int8(0)) == 1
-        for a, b in zip(c.words.offsets, c.words.offsets[1:], strict=False):
-            gone = covered[a:b]
+        for raw, a, b in zip(tokens.raw_texts(c.table), c.offsets, c.offsets[1:], strict=False):
+            gone, words = covered[a:b], (raw or b"").split()
             removed.append(int(gone.sum()))
             n_factors.append(int(edge[a:b].sum() + (b > a and a > 0 and covered[a] and covered[a - 1])))
-            shas.append(hashlib.sha256(b" ".join([vocabulary[i] for i in c.words.ids[a:b][~gone].tolist()])).hexdigest())
+            if removed[-1]:
+                words = [w for w, out in zip(words, gone.tolist(), strict=True) if not out]
+            shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
         return pa.table(
-            [c.table.column("doc_id"), pa.array(c.words.lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas), pa.array(n_factors, pa.int64())],
+            [c.table.column("doc_id"), pa.array(c.lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas), pa.array(n_factors, pa.int64())],
             names=["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors"],
         )
 
@@ -174,11 +212,14 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kinds = dict(rows.dtypes)
 
     def finish(c: _Chunk, covered: np.ndarray) -> pa.Table:
-        raw = c.table.column("text").cast(pa.binary()).to_pylist()
-        offsets = c.words.offsets
-        for k in np.unique(c.words.owner()[covered]).tolist() if covered.any() else ():
-            raw[k] = cut(raw[k], covered[offsets[k] : offsets[k + 1]])
-        columns = [c.table.column("doc_id"), pa.array(raw, pa.binary()).cast(pa.string()), *(c.table.column(n) for n, _ in kept)]
+        texts = c.table.column("text")
+        hit = np.unique(np.searchsorted(c.offsets, np.flatnonzero(covered), side="right") - 1)
+        if len(hit):
+            raw = texts.cast(pa.binary()).to_pylist()
+            for k in hit.tolist():
+                raw[k] = cut(raw[k], covered[c.offsets[k] : c.offsets[k + 1]])
+            texts = pa.array(raw, pa.binary()).cast(pa.string())
+        columns = [c.table.column("doc_id"), texts, *(c.table.column(n) for n, _ in kept)]
         return pa.table(columns, names=["doc_id", "text", *(n for n, _ in kept)])
 
     out = _parsed(rows, finish, ", ".join(f"{c} {kinds[c]}" for c in ["doc_id", "text", *(n for n, _ in kept)]), min_words)

@@ -143,3 +143,10 @@ def test_run_gives_the_rows_of_the_stages(spark, corpus):
         docs = stage(spark, docs, d).cache()
     part = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, d).select(part).collect())) == sorted(map(tuple, docs.select(part).collect()))
+
+
+def test_packing_takes_one_worker_a_task(spark, corpus):
+    """Steps in a row hold a worker each, and the executor keeps them all for the stages that follow."""
+    d, _ = corpus
+    plan = corpus_pipeline.pack(spark, spark.read.parquet(f"{d}/documents.parquet"), d)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow", plan.split("Initial Plan")[-1])) == 1

@@ -3,10 +3,12 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import bitpack, curve, katz, rlz, tokens
@@ -129,6 +131,20 @@ def test_rlz_cleaned_keeps_rows_and_columns(spark, texts):
     assert rlz.cleaned(frame(spark, [])).count() == 0
 
 
+def test_rlz_chunk_holds_little():
+    """A chunk of 8 MB of text at 50 words: numpy's and Python's memory beside Arrow's, which is the text's."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i:06d}" for i in range(30_000)])
+    texts = [" ".join(rng.choice(vocabulary, 1000)) for _ in range(1000)]
+    chunk = pa.table({"doc_id": pa.array(range(1000)), "text": pa.array(texts)})
+    rlz._Chunk(chunk.slice(0, 2), 50)
+    tracemalloc.start()
+    rlz._Chunk(chunk, 50)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 6 * chunk.nbytes
+
+
 def test_rlz_factors():
     assert rlz.factors(np.array([0, 1, 1, 0, 1], bool), 13) == [(1, 15), (4, 17)]
 
