@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 STRING_CLASSES = [
@@ -40,25 +44,23 @@ def classify(strings: DataFrame) -> DataFrame:
 def entropy(rows: DataFrame) -> DataFrame:
     """(id, entropy, packed): Shannon entropy of the bytes of ``data``, by UTF-8 for text; packed from 7.0.
 
-    Bytes are counted within the row, so nothing is shuffled.
+    Bytes are counted within the row, so nothing is shuffled. Null and empty data have 0.
     """
-    h = F.hex("data")
-    bytes_ = F.filter(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1)), lambda b: b != "")
-    sorted_ = F.array_sort(bytes_)
-    n = F.size(sorted_)
-    # runs of equal bytes in sorted order: (previous, run, sum of c * log2 c)
-    state = F.aggregate(
-        sorted_,
-        F.struct(F.lit("").alias("p"), F.lit(0.0).alias("c"), F.lit(0.0).alias("t")),
-        lambda a, b: F.struct(
-            b.alias("p"),
-            F.when(a["p"] == b, a["c"] + 1.0).otherwise(1.0).alias("c"),
-            F.when(a["p"] == b, a["t"]).otherwise(a["t"] + F.when(a["c"] > 0, a["c"] * F.log2(a["c"])).otherwise(0.0)).alias("t"),
-        ),
-    )
-    total = state["t"] + F.when(state["c"] > 0, state["c"] * F.log2(state["c"])).otherwise(0.0)
-    e = F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(0.0)
-    return rows.select("id", F.round(e, 6).alias("entropy"), (e >= 7.0).alias("packed"))
+    types = T.StructType([rows.schema["id"], T.StructField("e", T.DoubleType())])
+    found = rows.select("id", F.col("data").cast("binary").alias("data")).mapInArrow(_entropies, types)
+    return found.select("id", F.round("e", 6).alias("entropy"), (F.col("e") >= 7.0).alias("packed"))
+
+
+def _entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = np.zeros(batch.num_rows)
+        for k, data in enumerate(batch.column(1)):
+            size = data.as_buffer().size if data.is_valid else 0
+            if size:
+                c = np.bincount(np.frombuffer(data.as_buffer(), dtype=np.uint8))
+                c = c[c > 0]
+                found[k] = np.log2(size) - (c * np.log2(c)).sum() / size
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "e"])
 
 
 def byte_entropy(rows: DataFrame) -> DataFrame:
