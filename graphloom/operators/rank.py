@@ -68,17 +68,26 @@ def power(g: Graph, rounds: int, alpha: float | None = None, tolerance: float =
 
 
 def trophic(g: Graph, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
-    """(id, score): 1 + the mean level of the in-neighbours, all updated at once."""
+    """(id, score): 1 + the mean level of the in-neighbours, all updated at once.
+
+    A node without in-neighbours has level 1 in every round, so rounds go over the others
+    and the edges between them; what the first ones add is summed up once.
+    """
     e = cut(local_edges(g.nodes, g.edges))
-    level = g.nodes.select("id", F.lit(1.0).alias("x"))
+    moving = cut(e.groupBy(F.col("dst").alias("id")).agg(F.count("*").cast("double").alias("n")))
+    inner = cut(e.join(moving.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst"))
+    # in-neighbours of level 1
+    fixed = moving.join(inner.groupBy(F.col("dst").alias("id")).agg(F.count("*").cast("double").alias("m")), "id", "left")
+    base = cut(fixed.select("id", "n", (F.col("n") - F.coalesce("m", F.lit(0.0))).alias("one")))
+    level = base.select("id", F.lit(1.0).alias("x"))
     for _ in range(rounds):
-        mean = e.join(level.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.avg("x").alias("m"))
-        new = cut(g.nodes.select("id").join(mean, "id", "left").select("id", (1.0 + F.coalesce("m", F.lit(0.0))).alias("x")))
+        flow = inner.join(level.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("s"))
+        new = cut(base.join(flow, "id", "left").select("id", (1.0 + (F.col("one") + F.coalesce("s", F.lit(0.0))) / F.col("n")).alias("x")))
         change = new.join(level.withColumnRenamed("x", "old"), "id").agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
         level = new
         if change is None or change < tolerance:
             break
-    return level.withColumnRenamed("x", "score")
+    return g.nodes.select("id").join(level, "id", "left").select("id", F.coalesce("x", F.lit(1.0)).alias("score"))
 
 
 def voterank(g: Graph, k: int = 30) -> DataFrame:
