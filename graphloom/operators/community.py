@@ -14,7 +14,7 @@ from graphloom.session import cut
 
 def islands(g: Graph) -> DataFrame:
     """(label, n): connected components, largest first."""
-    found = loops.components(local_edges(g.nodes, g.edges), g.nodes)
+    found = loops.stripped_components(local_edges(g.nodes, g.edges), g.nodes)
     return found.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label")
 
 
